@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import rounded, rounded_cols
+from barloom.functions.expr import rounded
 from barloom.operators import indicators as ind
 from barloom.operators import series as se
 from barloom.plans import sql as q
@@ -20,12 +20,25 @@ def _series(bars):
 DIGITS = 4  # order prices run to 500,000, so four decimals are ten significant digits
 
 
+def _digits(name: str) -> int:
+    """A mean of 200 cent prices can end in ...5 at the fifth decimal, so means keep six."""
+    return 6 if name.startswith("sma_") else DIGITS
+
+
+def _cols(names: list[str]):
+    return [rounded(n, _digits(n)).alias(n) for n in names]
+
+
+def _rnds(names: list[str]) -> str:
+    return ", ".join(f"{q.rnd(n, _digits(n))} AS {n}" for n in names)
+
+
 def _out(s: se.Series, names: list[str]):
-    return s.df.select("symbol", "ts", *rounded_cols(names, DIGITS))
+    return s.df.select("symbol", "ts", *_cols(names))
 
 
 def _select(cols: str, ctes: str, names: list[str]) -> str:
-    return f"SELECT symbol, ts, {q.rnds(names, DIGITS)} FROM (SELECT num.symbol, ts, {cols} FROM num {ctes})"
+    return f"SELECT symbol, ts, {_rnds(names)} FROM (SELECT num.symbol, ts, {cols} FROM num {ctes})"
 
 
 SMA_COLS = [f"sma_{n}" for n in ind.SPANS]
@@ -160,19 +173,19 @@ SUITE_DONE = f"""suite AS (SELECT * EXCLUDE (bb_mid), {BB_SELECT} FROM
 
 
 def suite_sql(bars: str) -> str:
-    return q.with_(bars, *SUITE_CTES, SUITE_DONE) + f"SELECT symbol, ts, {q.rnds(ind.SUITE, DIGITS)} FROM suite"
+    return q.with_(bars, *SUITE_CTES, SUITE_DONE) + f"SELECT symbol, ts, {_rnds(ind.SUITE)} FROM suite"
 
 
 @query("win_19_suite", suite_sql(q.ORDER_BARS))
 def win_19(spark, sf):
-    return ind.indicator_suite(tables.order_bars(spark, sf)).select("symbol", "ts", *rounded_cols(ind.SUITE, DIGITS))
+    return ind.indicator_suite(tables.order_bars(spark, sf)).select("symbol", "ts", *_cols(ind.SUITE))
 
 
 @query("win_19_suite_hourly_blocks", suite_sql(q.EVENT_BARS))
 def win_19_blocks(spark, sf):
     """Block layout over hourly bars; the small block size makes several blocks even here."""
     bars = tables.event_bars(spark, sf)
-    return ind.indicator_suite_blocked(bars, block_rows=512).select("symbol", "ts", *rounded_cols(ind.SUITE, DIGITS))
+    return ind.indicator_suite_blocked(bars, block_rows=512).select("symbol", "ts", *_cols(ind.SUITE))
 
 
 @query(
