@@ -172,7 +172,7 @@ def quality(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: list[float], key: str, bins: int = 1000) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, probs: list[float], keys: list[str], bins: int = 1000) -> DataFrame:
     """Linear-interpolated quantiles of a column whose keys may be arbitrarily large.
 
     1. rows become counts per (key, value), merged map-side;
@@ -181,42 +181,47 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], key: str, bi
     3. only inside those bins are values cumulated, so no task holds a whole key.
     Exact: the sketch only decides how the values are split into bins.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(key, F.col(column).cast("double").alias("v")).agg(
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    cuts = counts.groupBy(key).agg(
+    cuts = counts.groupBy(*keys).agg(
         F.percentile_approx("v", [i / bins for i in range(1, bins)], 10 * bins).alias("cuts")
     )
     # the bin of a value: how many cut points lie below it
-    binned = counts.join(cuts, key).select(
-        key, "v", "n", F.size(F.filter("cuts", lambda cut: cut < F.col("v"))).alias("bin")
-    )
-    per_bin = binned.groupBy(key, "bin").agg(F.sum("n").alias("n_bin"))
-    w = Window.partitionBy(key).orderBy("bin")
-    per_bin = per_bin.select(
-        key,
+    binned = counts.join(cuts, keys).select(
+        *keys, "v", "n", F.size(F.filter("cuts", lambda cut: cut < F.col("v"))).alias("bin")
+    )
+    per_bin = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("n_bin"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("n_bin").over(group.orderBy("bin"))
+    grid = F.array(*[F.lit(float(p)) for p in probs])
+    wanted = per_bin.select(
+        *keys,
         "bin",
-        (F.sum("n_bin").over(w) - F.col("n_bin")).alias("before"),
         "n_bin",
-        F.sum("n_bin").over(Window.partitionBy(key)).alias("total"),
-    )
-    grid = F.array(*[F.struct(F.lit(float(p)).alias("p")) for p in probs])
-    wanted = per_bin.withColumn("g", F.explode(grid)).select(
-        key, "bin", "before", "n_bin", F.col("g.p").alias("p"), ((F.col("total") - 1) * F.col("g.p")).alias("pos")
-    )
-    lo, hi = F.floor("pos"), F.ceil("pos")
-    inside = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n_bin"))
-    wanted = wanted.filter(inside(lo) | inside(hi))
-    ranked = binned.join(wanted.select(key, "bin", "before").distinct(), [key, "bin"])
-    run = Window.partitionBy(key, "bin").orderBy("v")
-    ranked = ranked.withColumn("upto", F.sum("n").over(run) + F.col("before")).withColumn(
-        "from_", F.col("upto") - F.col("n")
-    )
-    hit = wanted.select(key, "bin", "p", "pos").join(ranked.select(key, "bin", "v", "from_", "upto"), [key, "bin"])
-    at = lambda rank: F.max(F.when((rank >= F.col("from_")) & (rank < F.col("upto")), F.col("v")))
-    found = hit.groupBy(key, "p", "pos").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"))
+        (upto - F.col("n_bin")).alias("before"),
+        F.sum("n_bin").over(group).alias("total"),
+    ).withColumn("p", F.explode(grid))
+    wanted = wanted.withColumn("pos", (F.col("total") - 1) * F.col("p"))
+
+    def inside(rank: Column, lo: str, hi: Column) -> Column:
+        return (rank >= F.col(lo)) & (rank < hi)
+
+    low, high = F.floor("pos"), F.ceil("pos")
+    bin_end = F.col("before") + F.col("n_bin")
+    wanted = wanted.filter(inside(low, "before", bin_end) | inside(high, "before", bin_end))
+    ranked = binned.join(wanted.select(*keys, "bin", "before").distinct(), [*keys, "bin"])
+    run = Window.partitionBy(*keys, "bin").orderBy("v")
+    last = F.sum("n").over(run) + F.col("before")
+    ranked = ranked.select(*keys, "bin", "v", last.alias("last"), (last - F.col("n")).alias("first"))
+    hit = wanted.select(*keys, "bin", "p", "pos").join(ranked, [*keys, "bin"])
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(inside(rank, "first", F.col("last")), F.col("v")))
+
+    found = hit.groupBy(*keys, "p", "pos").agg(at(low).alias("a"), at(high).alias("b"))
     frac = F.col("pos") - F.floor("pos")
-    return found.select(key, "p", (F.col("a") + (F.col("b") - F.col("a")) * frac).alias("value"))
+    return found.select(*keys, "p", (F.col("a") + (F.col("b") - F.col("a")) * frac).alias("value"))
 
 
 # -- column types -----------------------------------------------------------------

@@ -398,6 +398,6 @@ def agg_20(spark, sf):
 def agg_07_quantiles(spark, sf):
     """Quantiles of raw events, whose types may each hold a third of all rows."""
     ticks = tables.event_ticks(spark, sf)
-    return pf.exact_quantiles(ticks, "price", [0.05, 0.25, 0.5, 0.75, 0.95], "symbol").select(
+    return pf.exact_quantiles(ticks, "price", [0.05, 0.25, 0.5, 0.75, 0.95], ["symbol"]).select(
         "symbol", rounded("p").alias("p"), rounded("value").alias("value")
     )
