@@ -134,9 +134,9 @@ def symbol_consistency(df: DataFrame, limit: float = 0.55) -> DataFrame:
     """Balanced accuracy per symbol, whether each reaches the limit, and whether all do."""
     agg = confusion(df, ["symbol"]).select("symbol", class_metrics()["balanced_accuracy"].alias("balanced_accuracy"))
     ok = F.col("balanced_accuracy") >= limit
-    # one row per symbol from here on
-    overall = agg.agg(F.min(ok).alias("consistent"), F.avg("balanced_accuracy").alias("overall"))
-    return agg.select("symbol", "balanced_accuracy", ok.alias("meets_limit")).join(overall)
+    overall = agg.agg(F.struct(F.min(ok).alias("consistent"), F.avg("balanced_accuracy").alias("overall")).alias("o"))
+    out = agg.select("symbol", "balanced_accuracy", ok.alias("meets_limit"), overall.scalar().alias("o"))
+    return out.select("symbol", "balanced_accuracy", "meets_limit", "o.*")
 
 
 # -- thresholds -----------------------------------------------------------------------------
