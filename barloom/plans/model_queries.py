@@ -1 +1,95 @@
-"""Queries."""
+"""Classifier and forecast queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom.functions.expr import rounded, rounded_cols
+from barloom.operators import classifier as cl
+from barloom.operators import forecast as fc
+from barloom.operators import lookups as lk
+from barloom.plans import sql as q
+from barloom.plans.feature_queries import FEATURE_SQL, features
+from barloom.plans.registry import query
+from barloom.sources import tables
+
+SHORT = ["rsi", "macd", "roc", "atr_normalized", "price_momentum", "day_of_week"]
+
+
+def _training(spark, sf):
+    labelled = cl.stored(cl.labelled_features(tables.index_bars(spark, sf)), "labelled")
+    return labelled, cl.stored(cl.training_rows(labelled, SHORT), "windows")
+
+
+@query("mod_01_train_evaluate")
+def mod_01(spark, sf):
+    """Metrics per symbol on the held-out 30%."""
+    return cl.train_and_evaluate(spark, tables.index_bars(spark, sf), samples=2)["metrics"]
+
+
+@query("mod_02_repeated_scoring")
+def mod_02(spark, sf):
+    _, rows = _training(spark, sf)
+    models = cl.fit_bag(rows.filter("is_train"), 3)
+    return cl.score_bag(models, rows.filter("NOT is_train"))
+
+
+@query("mod_03_next_step")
+def mod_03(spark, sf):
+    labelled, rows = _training(spark, sf)
+    models = cl.fit_bag(rows.filter("is_train"), 2)
+    return cl.next_step(models, labelled, SHORT, F.lit(0.4), F.lit(0.4))
+
+
+def with_regressors(spark, sf):
+    """Features with the return of one segment as the market's."""
+    df = features(spark, sf)
+    return lk.with_benchmark_return(df, df.filter("symbol = 'BUILDING'"))
+
+
+@query("mod_04_forecast")
+def mod_04(spark, sf):
+    return fc.forecast(with_regressors(spark, sf))
+
+
+PREP_SQL = """prep AS (SELECT symbol, CAST(ts AS DATE) AS ds, close AS y, rsi, macd, macd_signal, atr FROM feats
+  WHERE rsi IS NOT NULL AND macd IS NOT NULL AND macd_signal IS NOT NULL AND atr IS NOT NULL)"""
+PREP_COLS = ["y", "rsi", "macd", "macd_signal", "atr"]
+
+
+@query("mod_05_prepare", q.with_(*FEATURE_SQL, PREP_SQL) + f"SELECT symbol, ds, {q.rnds(PREP_COLS)} FROM prep")
+def mod_05(spark, sf):
+    return fc.prepare(features(spark, sf)).select("symbol", "ds", *rounded_cols(PREP_COLS))
+
+
+@query(
+    "mod_06_hold_out",
+    q.with_(q.INDEX_BARS, q.NUMBERED) + "SELECT symbol, ts AS ds, rn >= count(*) OVER (PARTITION BY symbol) - 30 AS is_test FROM num",
+)
+def mod_06(spark, sf):
+    return fc.hold_out(fc.prepare(tables.index_bars(spark, sf))).select("symbol", "ds", "is_test")
+
+
+@query(
+    "mod_06_future_days",
+    q.with_(q.INDEX_BARS)
+    + f"""SELECT symbol, CAST(ds AS DATE) AS ds, {q.rnd('volume')} AS volume FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ds) AS d FROM (
+    SELECT symbol, unnest(generate_series(last + 1, last + 60, INTERVAL 1 DAY)) AS ds, volume FROM (
+      SELECT symbol, max(ts) AS last, arg_max(volume, ts) AS volume FROM bars GROUP BY 1)) WHERE isodow(ds) < 6) WHERE d <= 30""",
+)
+def mod_06_future(spark, sf):
+    df = fc.prepare(tables.index_bars(spark, sf), regressors=["volume"])
+    return fc.future_rows(df, ["volume"]).withColumn("volume", rounded("volume"))
+
+
+@query("mod_07_interval")
+def mod_07(spark, sf):
+    """Half widths of the interval, equal for all days of a symbol."""
+    df = fc.forecast(with_regressors(spark, sf))
+    return df.groupBy("symbol").agg(
+        rounded(F.min(F.col("yhat_upper") - F.col("yhat"))).alias("half_width"),
+        F.avg(F.col("actual").between(F.col("yhat_lower"), F.col("yhat_upper")).cast("double")).alias("covered"),
+    )
+
+
