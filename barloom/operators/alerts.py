@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.text import two_decimals
-from barloom.operators.indicators import indicator_suite
-from barloom.operators.series import last_rows
+from barloom.operators.indicators import add_rsi
+from barloom.operators.series import by_symbol, last_rows
+from barloom.sources.bars import clean
 
 CONDITION = "reference double, rsi_limit double"
 # fixed values: rule types as stored by existing users
@@ -69,9 +70,9 @@ def not_fired(alerts: DataFrame, fired: DataFrame) -> DataFrame:
 
 
 def latest_indicators(bars: DataFrame) -> DataFrame:
-    """Newest bar per symbol with its RSI; windows nobody reads are pruned by Catalyst."""
-    suite = indicator_suite(bars).select("symbol", "ts", "close", "rsi_14")
-    return last_rows(suite, 1).drop("place")
+    """Newest bar per symbol with its RSI, the only indicator the rules read."""
+    rsi = add_rsi(by_symbol(clean(bars))).df.select("symbol", "ts", "close", "rsi_14")
+    return last_rows(rsi, 1).drop("place")
 
 
 def alert_run(bars: DataFrame, rules: DataFrame, as_of: Column, fired: DataFrame | None = None) -> DataFrame:

@@ -53,67 +53,69 @@ def equity_curve(signals: DataFrame, keys: tuple[str, ...] = ("symbol",), commis
     logarithms); once a factor is not positive the account is ruined and stays at 0.
     """
     f = Frames(keys, ("rn",))
-    w = f.ordered()
-    held = F.last(F.when(F.col("signal") != 0, F.col("signal")), ignorenulls=True).over(f.running())
-    df = signals.withColumn("_held", F.coalesce(held, F.lit(0)))
-    # the position decided at a close is held from the next open on
-    df = df.withColumn("position", F.coalesce(F.lag("_held").over(w), F.lit(0)))
+    w, first = f.ordered(), Window.unboundedPreceding
+    turn = F.when(F.col("signal") != 0, F.col("signal"))
+    # the signal of a close is held from the next open on
+    df = signals.withColumns(
+        {
+            "position": F.coalesce(F.last(turn, ignorenulls=True).over(f.between(first, -1)), F.lit(0)),
+            "_before": F.coalesce(F.last(turn, ignorenulls=True).over(f.between(first, -2)), F.lit(0)),
+            "_pc": F.coalesce(F.lag("close").over(w), F.col("open")),
+        }
+    )
+    change = F.abs(F.col("position") - F.col("_before"))
     df = df.withColumns(
-        {"_before": F.coalesce(F.lag("position").over(w), F.lit(0)), "_pc": F.coalesce(F.lag("close").over(w), F.col("open"))}
+        {
+            "_overnight": 1.0 + F.col("_before") * ratio(F.col("open") - F.col("_pc"), "_pc"),
+            "_own": (1.0 - commission * change) * (1.0 + F.col("position") * ratio(F.col("close") - F.col("open"), "open")),
+            "_turned": (change > 0).cast("int"),
+        }
     )
-    overnight = 1.0 + F.col("_before") * ratio(F.col("open") - F.col("_pc"), "_pc")
-    intraday = 1.0 + F.col("position") * ratio(F.col("close") - F.col("open"), "open")
-    fee = 1.0 - commission * F.abs(F.col("position") - F.col("_before"))
-    df = df.withColumn("growth", overnight * fee * intraday)
-    bad = F.max((F.col("growth") <= 0).cast("int")).over(f.running())
-    safe = F.when(F.col("growth") > 0, F.ln("growth")).otherwise(0.0)
-    equity = F.when(bad == 1, 0.0).otherwise(CAPITAL * F.exp(F.sum(safe).over(f.running())))
-    return df.withColumn("equity", equity).drop("_held", "_pc")
+    growth = F.col("_overnight") * F.col("_own")
+    ruined = F.max((growth <= 0).cast("int")).over(f.running()) == 1
+    logs = F.sum(F.when(growth > 0, F.ln(growth)).otherwise(0.0)).over(f.running())
+    df = df.withColumns(
+        {
+            "equity": F.when(ruined, 0.0).otherwise(CAPITAL * F.exp(logs)),
+            "_run": F.sum("_turned").over(f.running()),
+            "_next_overnight": F.when(F.lead("_turned").over(w) == 1, F.lead("_overnight").over(w)).otherwise(1.0),
+        }
+    )
+    return df.drop("_pc")
 
 
 def backtest_stats(curve: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """One row of statistics per key; the curve's partitioning by key is reused."""
+    """One row of statistics per key; the curve's partitioning by key is reused.
+
+    A trade is a maximal run of one non-zero position.  It opens with the fee and the rest
+    of its first bar and closes with the overnight move after its last one (at the last
+    close if it is still open); the overnight move before it belongs to the trade before.
+    """
     f = Frames(keys, ("rn",))
-    w = f.ordered()
     peak = F.greatest(F.lit(CAPITAL), F.max("equity").over(f.running()))
-    prev_equity = F.coalesce(F.lag("equity").over(w), F.lit(CAPITAL))
-    run_start = F.col("position") != F.col("_before")
+    prev = F.coalesce(F.lag("equity").over(f.ordered()), F.lit(CAPITAL))
+    part = F.when(F.col("_turned") == 1, F.col("_own")).otherwise(F.col("_overnight") * F.col("_own"))
     df = curve.withColumns(
-        {
-            "_dd": F.col("equity") / peak - 1.0,
-            "_r": ratio(F.col("equity") - prev_equity, prev_equity),
-            "_run": F.sum(run_start.cast("int")).over(f.running()),
-        }
+        {"_dd": F.col("equity") / peak - 1.0, "_r": ratio(F.col("equity") - prev, prev), "_g": part * F.col("_next_overnight")}
     )
-    # a trade is a maximal run of one non-zero position; it opens with the fill of its first
-    # bar, so its growth is the product of that bar's fee and intraday part, the bars
-    # between, and the overnight part of the bar after it (nothing after the last close)
-    overnight = 1.0 + F.col("_before") * ratio(F.col("open") - F.lag("close").over(w), F.lag("close").over(w))
-    fee = 1.0 - COMMISSION * F.abs(F.col("position") - F.col("_before"))
-    df = df.withColumn("_on", F.coalesce(overnight, F.lit(1.0))).withColumn("_fee", fee)
-    after = F.when(F.lead("_run").over(w) > F.col("_run"), F.lead("_on").over(w)).otherwise(1.0)
-    own = F.when(run_start, F.col("growth") / F.nullif(F.col("_on"), F.lit(0.0))).otherwise(F.col("growth"))
-    df = df.withColumn("_g", own * after)
-    grp = Window.partitionBy(*keys)
-    totals = df.groupBy(*keys, "_run").agg(
+    r = F.col("_r")
+    runs = df.groupBy(*keys, "_run").agg(
         F.min("position").alias("position"),
         F.sum(F.when(F.col("_g") > 0, F.ln("_g"))).alias("_ln"),
         F.max((F.col("_g") <= 0).cast("int")).alias("_ruin"),
-        F.min_by(F.struct("_fee", "equity", "_r"), "rn").alias("_first"),
-        F.max_by("equity", "rn").alias("equity"),
         F.max("rn").alias("_rn"),
+        F.max_by("equity", "rn").alias("equity"),
         F.min_by("close", "rn").alias("_c0"),
         F.max_by("close", "rn").alias("_c1"),
         F.min("_dd").alias("_dd"),
-        F.count("_r").alias("_n"),
-        F.sum("_r").alias("_sr"),
-        F.sum(F.col("_r") * F.col("_r")).alias("_sr2"),
-        F.sum(F.when(F.col("_r") < 0, F.col("_r") * F.col("_r"))).alias("_sd2"),
+        F.count(r).alias("_n"),
+        F.sum(r).alias("_sr"),
+        F.sum(r * r).alias("_sr2"),
+        F.sum(F.when(r < 0, r * r)).alias("_sd2"),
     )
-    trade = F.col("position") != 0
-    pct = F.when(trade, F.when(F.col("_ruin") == 1, -1.0).otherwise(F.exp("_ln") - 1.0))
-    totals = totals.withColumn("_pct", pct)
-    agg = totals.groupBy(*keys).agg(
+    traded = F.when(F.col("_ruin") == 1, -1.0).otherwise(F.exp("_ln") - 1.0)
+    runs = runs.withColumn("_pct", F.when(F.col("position") != 0, traded))
+    agg = runs.groupBy(*keys).agg(
         F.max_by("equity", "_rn").alias("final_equity"),
         F.min_by("_c0", "_rn").alias("_c0"),
         F.max_by("_c1", "_rn").alias("_c1"),

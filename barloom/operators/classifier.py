@@ -14,19 +14,12 @@ from barloom.operators.features import FEATURES, LOOKBACK, feature_suite, ordere
 from barloom.operators.labels import CLASS_NAMES, adaptive_labels, class_weights, min_max
 from barloom.operators.selection import select_features
 from barloom.operators.series import Series, by_symbol, fill_gaps
-from barloom.session import new_path
+from barloom.session import stored
 
 SAMPLES = 5
 BAG_SHARE = 0.8
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several fits read into the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def labelled_features(bars: DataFrame) -> DataFrame:
     return adaptive_labels(feature_suite(bars))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import ratio
 from barloom.operators.series import last_rows
+from barloom.session import stored
 
 HORIZON = 30
 MIN_TRAIN = 10
@@ -134,7 +135,7 @@ def forecast(df: DataFrame, regressors: list[str] = REGRESSORS, horizon: int = H
     """Prepare, hold out, fit, predict.  Held-out rows carry their real value; symbols too
     short to hold out get the next business days instead."""
     keep = [r for r in regressors if r in df.columns]
-    split = hold_out(prepare(df, regressors=keep), horizon)
+    split = stored(hold_out(prepare(df, regressors=keep), horizon), "forecast-rows")
     test = split.filter("is_test")
     model = fit(split.filter("NOT is_test"), keep)
     held = test.select("symbol", "ds", F.col("y").alias("actual"), *keep)

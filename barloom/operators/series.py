@@ -151,26 +151,24 @@ def smooth(series: Series, specs: list[Smooth]) -> Series:
     df = series.df.withColumn("_seg", seg).withColumn("_j", j.cast("double"))
     inside = Window.partitionBy(*f.keys, "_seg").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
 
-    def weighted(s: Smooth) -> Column:
-        rn = F.col("rn")
-        v = F.when(rn == s.start, c(s.seed or s.x)).when(rn > s.start, s.alpha * c(s.x)).otherwise(F.lit(0.0))
-        return v * F.pow(F.lit(1.0 - s.alpha), -F.col("_j"))
+    def q(s: Smooth) -> str:
+        return f"{1.0 - s.alpha!r}D"
 
-    df = df.withColumns(
-        {f"_l_{s.out}": F.sum(weighted(s)).over(inside) * F.pow(F.lit(1.0 - s.alpha), F.col("_j")) for s in specs}
-    )
-    ends = F.col("_j") == seg_rows - 1
-    df = df.withColumns(
-        {f"_e_{s.out}": F.collect_list(F.when(ends, F.col(f"_l_{s.out}"))).over(f.before()) for s in specs}
-    )
+    def weighted(s: Smooth) -> str:
+        v = f"CASE WHEN rn = {s.start} THEN {s.seed or s.x} WHEN rn > {s.start} THEN {s.alpha!r}D * {s.x} ELSE 0D END"
+        return f"({v}) * pow({q(s)}, -_j)"
+
+    df = df.withColumns({f"_l_{s.out}": F.sum(F.expr(weighted(s))).over(inside) for s in specs})
+    df = df.withColumns({f"_l_{s.out}": F.expr(f"_l_{s.out} * pow({q(s)}, _j)") for s in specs})
+    ends = {f"_e_{s.out}": F.expr(f"CASE WHEN _j = {seg_rows - 1} THEN _l_{s.out} END") for s in specs}
+    df = df.withColumns({name: F.collect_list(end).over(f.before()) for name, end in ends.items()})
 
-    def folded(s: Smooth) -> Column:
-        q_seg = (1.0 - s.alpha) ** seg_rows
-        carry = F.aggregate(f"_e_{s.out}", F.lit(0.0), lambda acc, end: acc * F.lit(q_seg) + end)
-        y = F.col(f"_l_{s.out}") + carry * F.pow(F.lit(1.0 - s.alpha), F.col("_j") + 1.0)
-        return F.when(F.col("rn") >= s.start, y)
+    def folded(s: Smooth) -> str:
+        q_seg = f"{(1.0 - s.alpha) ** seg_rows!r}D"
+        carry = f"aggregate(_e_{s.out}, 0D, (acc, e) -> acc * {q_seg} + e)"
+        return f"CASE WHEN rn >= {s.start} THEN _l_{s.out} + {carry} * pow({q(s)}, _j + 1) END"
 
-    df = df.withColumns({s.out: folded(s) for s in specs})
+    df = df.withColumns({s.out: F.expr(folded(s)) for s in specs})
     scratch = ["_seg", "_j"] + [f"_{k}_{s.out}" for k in "le" for s in specs]
     return Series(df.drop(*scratch), f, series.halo)
 

@@ -11,14 +11,15 @@ from barloom.operators import lookups as lk
 from barloom.plans import sql as q
 from barloom.plans.feature_queries import FEATURE_SQL, features
 from barloom.plans.registry import query
+from barloom.session import stored
 from barloom.sources import tables
 
 SHORT = ["rsi", "macd", "roc", "atr_normalized", "price_momentum", "day_of_week"]
 
 
 def _training(spark, sf):
-    labelled = cl.stored(cl.labelled_features(tables.index_bars(spark, sf)), "labelled")
-    return labelled, cl.stored(cl.training_rows(labelled, SHORT), "windows")
+    labelled = stored(cl.labelled_features(tables.index_bars(spark, sf)), "labelled")
+    return labelled, stored(cl.training_rows(labelled, SHORT), "windows")
 
 
 @query("mod_01_train_evaluate")
