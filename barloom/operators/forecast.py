@@ -95,9 +95,12 @@ def fit(train: DataFrame, regressors: list[str]) -> DataFrame:
     scales = _scales(train, regressors)
     rows = train.join(scales, "symbol").select(
         "symbol",
+        F.year("ds").alias("year"),
         F.array(*_design(regressors)).alias("x"),
         F.coalesce(ratio(F.col("y") - F.col("y_mean"), "y_std"), F.lit(0.0)).alias("z"),
     )
+    # years of one symbol side by side, so that a batch adds up long runs of rows
+    rows = rows.repartition("symbol", "year").sortWithinPartitions("symbol")
     partial = rows.mapInPandas(_partial_grams, "symbol string, g array<double>")
     cells = partial.select("symbol", F.posexplode("g").alias("pos", "v")).groupBy("symbol", "pos").agg(F.sum("v").alias("v"))
     # k*k numbers per symbol, whatever its history
@@ -131,6 +134,16 @@ def predict(rows: DataFrame, model: DataFrame, regressors: list[str]) -> DataFra
     )
 
 
+def residual_interval(scored: DataFrame, z: float = Z80) -> DataFrame:
+    """Interval around any forecast from the moments of its own residuals: per symbol
+    yhat +- z times the root mean square of (actual - yhat)."""
+    err = F.col("actual") - F.col("yhat")
+    spread = scored.groupBy("symbol").agg(F.sqrt(F.avg(err * err)).alias("_sigma"))
+    half = z * F.col("_sigma")
+    out = scored.join(spread, "symbol")
+    return out.withColumns({"yhat_lower": F.col("yhat") - half, "yhat_upper": F.col("yhat") + half}).drop("_sigma")
+
+
 def forecast(df: DataFrame, regressors: list[str] = REGRESSORS, horizon: int = HORIZON) -> DataFrame:
     """Prepare, hold out, fit, predict.  Held-out rows carry their real value; symbols too
     short to hold out get the next business days instead."""

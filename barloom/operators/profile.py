@@ -172,25 +172,28 @@ def quality(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: list[float], keys: list[str], bins: int = 1000) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, probs: list[float], keys: list[str], coarse: int = 32) -> DataFrame:
     """Linear-interpolated quantiles of a column whose keys may be arbitrarily large.
 
     1. rows become counts per (key, value), merged map-side;
-    2. a bounded sketch per key gives ``bins`` cut points, and counts per bin tell in
-       which bin a wanted rank lies;
+    2. a bounded sketch per key gives ``coarse`` squared bins (a value finds its bin in two
+       steps), and counts per bin tell in which bin a wanted rank lies;
     3. only inside those bins are values cumulated, so no task holds a whole key.
     Exact: the sketch only decides how the values are split into bins.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    bins = coarse * coarse
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx("v", [i / bins for i in range(1, bins)], 10 * bins).alias("cuts")
     )
+    every = F.array(*[F.col("cuts")[coarse * k - 1] for k in range(1, coarse)])
+    cuts = cuts.withColumn("steps", every)
     # the bin of a value: how many cut points lie below it
-    binned = counts.join(cuts, keys).select(
-        *keys, "v", "n", F.size(F.filter("cuts", lambda cut: cut < F.col("v"))).alias("bin")
-    )
+    binned = counts.join(cuts, keys).withColumn("b", F.size(F.filter("steps", lambda cut: cut < F.col("v"))) * coarse)
+    near = F.slice("cuts", F.col("b") + 1, F.lit(coarse - 1))
+    binned = binned.select(*keys, "v", "n", (F.col("b") + F.size(F.filter(near, lambda cut: cut < F.col("v")))).alias("bin"))
     per_bin = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("n_bin"))
     group = Window.partitionBy(*keys)
     upto = F.sum("n_bin").over(group.orderBy("bin"))
@@ -400,8 +403,10 @@ def student_p(t: Column, dof: Column) -> Column:
     steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     start = F.struct(F.lit(1.0).alias("total"), F.lit(1.0).alias("term"))
     total = F.aggregate(steps, start, step, lambda acc: acc.total)
-    inside = F.when(odd, 2.0 / math.pi * (theta + F.sin(theta) * F.cos(theta) * total)).otherwise(
-        F.sin(theta) * total
+    inside = (
+        F.when(dof == 1, 2.0 / math.pi * theta)
+        .when(odd, 2.0 / math.pi * (theta + F.sin(theta) * F.cos(theta) * total))
+        .otherwise(F.sin(theta) * total)
     )
     return F.greatest(F.lit(0.0), 1.0 - inside)
 
@@ -473,7 +478,9 @@ def stationarity(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
     df = _long(bars, columns, "ts")
     grp = Window.partitionBy(*by)
     rn = F.row_number().over(grp.orderBy("ts"))
-    df = df.withColumns({"rn": rn, "n": F.count("v").over(grp), "v": F.col("v") - F.avg("v").over(grp)})
+    df = df.withColumns(
+        {"rn": rn, "n": F.count("v").over(grp), "v": F.col("v") - F.avg("v").over(grp), "_all": F.var_pop("v").over(grp)}
+    )
     df = df.withColumn("w", F.greatest(F.lit(10), F.floor(F.col("n") / 4)).cast("long"))
     df = df.withColumn("pos", F.col("rn") / F.col("w"))
     run = grp.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -483,7 +490,9 @@ def stationarity(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
     w = F.col("w")
     s1 = F.col("s1") - F.coalesce(F.col("b1"), F.lit(0.0))
     s2 = F.col("s2") - F.coalesce(F.col("b2"), F.lit(0.0))
-    df = df.withColumns({"m": s1 / w, "var": F.greatest(F.lit(0.0), (s2 - s1 * s1 / w) / (w - 1))})
+    var = (s2 - s1 * s1 / w) / (w - 1)
+    # a window of equal values has variance 0, not the rounding noise of the running sums
+    df = df.withColumns({"m": s1 / w, "var": F.when(var > 1e-10 * F.col("_all"), var).otherwise(0.0)})
     agg = df.groupBy(*by, "n", "w").agg(
         F.regr_slope("m", F.col("rn").cast("double")).alias("slope"),
         F.stddev_pop("m").alias("sd"),

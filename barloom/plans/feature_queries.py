@@ -476,6 +476,40 @@ def aug_05_set(spark, sf):
     return df.select("symbol", "column_name", *rounded_cols(["m0", "s0", "m", "s"]), "valid")
 
 
+JITTER_SQL = f"""jit AS (SELECT symbol, 0 AS replica, close, volume FROM num UNION ALL
+  SELECT symbol, replica, close + sd_close * 0.008 * {_z('close')}, abs(volume + sd_volume * 0.008 * {_z('volume')}) FROM rep)"""
+
+
+def jittered(spark, sf):
+    """Originals and two jittered replicas."""
+    bars = tables.index_bars(spark, sf)
+    return bars.withColumn("replica", F.lit(0)).unionByName(au.jitter(bars, AUG_COLS, 2))
+
+
+@query(
+    "aug_05_replica_checks_jitter",
+    q.with_(q.INDEX_BARS, q.NUMBERED, AUG_BASE, JITTER_SQL)
+    + """SELECT symbol, replica, n, n = max(CASE WHEN replica = 0 THEN n END) OVER (PARTITION BY symbol) AND nulls <= 0.1 AS valid FROM (
+  SELECT symbol, replica, count(*) AS n, greatest(avg((close IS NULL)::INT), avg((volume IS NULL)::INT)) AS nulls FROM jit GROUP BY 1, 2)""",
+)
+def aug_05_jitter(spark, sf):
+    return au.replica_checks(jittered(spark, sf), AUG_COLS)
+
+
+@query(
+    "aug_05_set_checks_jitter",
+    q.with_(q.INDEX_BARS, q.NUMBERED, AUG_BASE, JITTER_SQL)
+    + " UNION ALL ".join(
+        f"""SELECT symbol, '{x}' AS column_name, {q.rnds(['m0', 's0', 'm', 's'])}, abs(m - m0) <= 0.3 * s0 AND abs(s - s0) <= 0.3 * s0 AS valid FROM (
+  SELECT symbol, avg({x}) FILTER (replica = 0) AS m0, stddev_pop({x}) FILTER (replica = 0) AS s0, avg({x}) AS m, stddev_pop({x}) AS s FROM jit GROUP BY 1)"""
+        for x in AUG_COLS
+    ),
+)
+def aug_05_set_jitter(spark, sf):
+    df = au.set_checks(jittered(spark, sf), AUG_COLS)
+    return df.select("symbol", "column_name", *rounded_cols(["m0", "s0", "m", "s"]), "valid")
+
+
 @query(
     "aug_06_labels_kept",
     q.with_(q.INDEX_BARS, CLASS_SQL)

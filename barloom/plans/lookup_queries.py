@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -53,8 +55,8 @@ def prj_03(spark, sf):
     q.with_(q.ORDER_BARS) + f"SELECT symbol, ts, {q.rnds(BAR_COLS)} FROM bars WHERE ts BETWEEN DATE '1997-03-01' AND DATE '1997-06-30'",
 )
 def prj_04(spark, sf):
-    day = lambda s: F.lit(s).cast("date")
-    bars = br.between_dates(tables.order_bars(spark, sf), day("1997-03-01"), day("1997-06-30"))
+    start, end = date(1997, 3, 1), date(1997, 6, 30)
+    bars = br.between_dates(tables.order_bars(spark, sf, start, end), F.lit(start), F.lit(end))
     return bars.select("symbol", "ts", *rounded_cols(BAR_COLS))
 
 

@@ -8,6 +8,7 @@ from barloom.functions.expr import rounded, rounded_cols
 from barloom.operators import classifier as cl
 from barloom.operators import forecast as fc
 from barloom.operators import lookups as lk
+from barloom.operators import series as se
 from barloom.plans import sql as q
 from barloom.plans.feature_queries import FEATURE_SQL, features
 from barloom.plans.registry import query
@@ -94,3 +95,20 @@ def mod_07(spark, sf):
     )
 
 
+
+
+@query(
+    "mod_07_residual_interval",
+    q.with_(q.INDEX_BARS, q.NUMBERED)
+    + f"""SELECT symbol, ds, {q.rnds(['yhat', 'yhat_lower', 'yhat_upper'])} FROM (
+  SELECT symbol, ts AS ds, yhat, yhat - {fc.Z80!r} * s AS yhat_lower, yhat + {fc.Z80!r} * s AS yhat_upper FROM (
+    SELECT *, sqrt(avg(pow(close - yhat, 2)) OVER (PARTITION BY symbol)) AS s FROM (
+      SELECT symbol, ts, close, avg(close) OVER (PARTITION BY symbol ORDER BY rn ROWS 4 PRECEDING) AS yhat FROM num)))""",
+)
+def mod_07_residual(spark, sf):
+    """Interval of a five-bar mean taken as forecast."""
+    s = se.by_symbol(tables.index_bars(spark, sf))
+    scored = s.df.select(
+        "symbol", F.col("ts").alias("ds"), F.col("close").alias("actual"), F.avg("close").over(s.frames.last(5)).alias("yhat")
+    )
+    return fc.residual_interval(scored).select("symbol", "ds", *rounded_cols(["yhat", "yhat_lower", "yhat_upper"]))

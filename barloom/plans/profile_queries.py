@@ -332,14 +332,15 @@ def agg_15h(spark, sf):
 
 STAT_SQL = f"""u AS ({unpivot('bars', COLS)}),
 p AS (SELECT *, row_number() OVER (PARTITION BY symbol, column_name ORDER BY ts) AS rn, count(*) OVER g AS n,
-  v - avg(v) OVER g AS cv FROM u WINDOW g AS (PARTITION BY symbol, column_name)),
+  v - avg(v) OVER g AS cv, var_pop(v) OVER g AS va FROM u WINDOW g AS (PARTITION BY symbol, column_name)),
 pw AS (SELECT *, greatest(10, n // 4) AS w FROM p),
 pref AS (SELECT *, sum(cv) OVER o AS s1, sum(cv * cv) OVER o AS s2 FROM pw WINDOW o AS (PARTITION BY symbol, column_name ORDER BY rn)),
-rolled AS (SELECT a.symbol, a.column_name, a.n, a.w, a.rn, (a.s1 - coalesce(b.s1, 0)) AS d1, a.s2 - coalesce(b.s2, 0) AS d2
+rolled AS (SELECT a.symbol, a.column_name, a.n, a.w, a.rn, a.va, (a.s1 - coalesce(b.s1, 0)) AS d1, a.s2 - coalesce(b.s2, 0) AS d2
   FROM pref a LEFT JOIN pref b ON a.symbol = b.symbol AND a.column_name = b.column_name AND b.rn = a.rn - a.w WHERE a.rn >= a.w),
+rvar AS (SELECT *, CASE WHEN (d2 - d1 * d1 / w) / (w - 1) > 1e-10 * va THEN (d2 - d1 * d1 / w) / (w - 1) ELSE 0 END AS rv FROM rolled),
 st AS (SELECT symbol, column_name, n, w, regr_slope(d1 / w, CAST(rn AS DOUBLE)) AS slope, stddev_pop(d1 / w) AS sd,
-  max(greatest(0, (d2 - d1 * d1 / w) / (w - 1))) / (min(greatest(0, (d2 - d1 * d1 / w) / (w - 1))) + 1e-8) AS var_ratio
-  FROM rolled GROUP BY 1, 2, 3, 4),
+  max(rv) / (min(rv) + 1e-8) AS var_ratio
+  FROM rvar GROUP BY 1, 2, 3, 4),
 verdicts AS (SELECT *, CASE WHEN n < 20 THEN 'insufficient_data'
   WHEN (n < 2 * w OR abs(slope) < 0.1 * sd) AND (n < 2 * w OR var_ratio < 4) THEN 'stationary'
   WHEN (n < 2 * w OR abs(slope) < 0.1 * sd) OR (n < 2 * w OR var_ratio < 4) THEN 'weak_stationary' ELSE 'non_stationary' END AS verdict FROM st)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import rounded, rounded_cols
@@ -296,7 +298,15 @@ def alr_01(spark, sf):
     return al.evaluate_rules(al.latest_indicators(tables.index_bars(spark, sf)), rules(spark, sf))
 
 
-RECENT = q.INDEX_BARS.replace("raw_bars AS (", "raw_bars0 AS (", 1).replace("FROM raw_bars)", "FROM raw_bars0 WHERE ts BETWEEN DATE '2001-08-01' - 260 AND DATE '2001-08-01')")
+RECENT = q.INDEX_BARS.replace("raw_bars AS (", "raw_bars0 AS (", 1).replace("FROM raw_bars)", "FROM raw_bars0 WHERE ts BETWEEN DATE '2001-08-01' - 260 AND DATE '2001-08-01' QUALIFY count(*) OVER (PARTITION BY symbol) >= 60)")
+
+
+AS_OF = date(2001, 8, 1)
+
+
+def recent_bars(spark, sf):
+    """The history an alert cycle needs; the range is pushed into the scan of the orders."""
+    return tables.index_bars(spark, sf, AS_OF - timedelta(days=al.HISTORY_DAYS), AS_OF)
 
 
 @query(
@@ -305,9 +315,9 @@ RECENT = q.INDEX_BARS.replace("raw_bars AS (", "raw_bars0 AS (", 1).replace("FRO
 )
 def alr_02(spark, sf):
     """Rules whose number ends in 1 fired in the cycle before."""
-    bars, rl, day = tables.index_bars(spark, sf), rules(spark, sf), F.lit("2001-08-01").cast("date")
-    fired = al.alert_run(bars, rl.filter("rule_id % 10 = 1"), day)
-    return al.alert_run(bars, rl, day, fired)
+    bars, rl = recent_bars(spark, sf), rules(spark, sf)
+    fired = al.alert_run(bars, rl.filter("rule_id % 10 = 1"), F.lit(AS_OF))
+    return al.alert_run(bars, rl, F.lit(AS_OF), fired)
 
 
 @query("joi_04_rules_latest_bar", q.with_(*RSI_BASE, RULES_SQL, fired_sql(LAST_RSI)) + "SELECT symbol, count(*) AS n FROM fired GROUP BY 1")

@@ -8,7 +8,7 @@ from barloom.functions.expr import rounded, rounded_cols
 from barloom.operators import alerts as al
 from barloom.plans import sql as q
 from barloom.plans.registry import query
-from barloom.plans.scenario_queries import LAST_RSI, RECENT, RULES_SQL, fired_sql, rules
+from barloom.plans.scenario_queries import AS_OF, LAST_RSI, RECENT, RULES_SQL, fired_sql, recent_bars, rules
 from barloom.plans.source_queries import BAR_COLS
 from barloom.session import new_path
 from barloom.sources import tables
@@ -97,10 +97,10 @@ def str_04(spark, sf):
 )
 def str_05(spark, sf):
     """The batch alert run once per micro-batch of new ticks."""
-    path, day = new_path(spark, "alert-cycles"), F.lit("2001-08-01").cast("date")
+    path = new_path(spark, "alert-cycles")
 
     def cycle(session):
-        return al.alert_run(tables.index_bars(session, sf), rules(session, sf), day)
+        return al.alert_run(recent_bars(session, sf), rules(session, sf), F.lit(AS_OF))
 
     ticks.alert_cycles(ticks.event_stream(spark, sf), cycle, path, new_path(spark, "alert-cycles-checkpoint"))
     schema = "rule_id bigint, symbol string, message string"

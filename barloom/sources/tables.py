@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,21 @@ def hour_of(ts: Column) -> Column:
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
 
 
-def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def in_period(df: DataFrame, ts: str, start: date | None, end: date | None) -> DataFrame:
+    """Inclusive date range on the raw time column, so that it reaches the parquet scan (a
+    filter on the bar's date would not: the date is computed)."""
+    midnight = lambda d: F.lit(d.isoformat()).cast("timestamp_ntz")
+    if start is not None:
+        df = df.filter(F.col(ts) >= midnight(start))
+    if end is not None:
+        df = df.filter(F.col(ts) < midnight(end + timedelta(days=1)))
+    return df
+
+
+def order_ticks(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
     """One tick per order; the symbol is the customer's market segment."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = in_period(orders, "o_orderdate", start, end)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         F.col("c_mktsegment").alias("symbol"),
@@ -59,9 +73,9 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_bars(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
     """Daily bars per market segment."""
-    return bars_from_ticks(order_ticks(spark, sf_dir), F.col("ts").cast("date"))
+    return bars_from_ticks(order_ticks(spark, sf_dir, start, end), F.col("ts").cast("date"))
 
 
 def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +88,10 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(event_ticks(spark, sf_dir), hour_of(F.col("ts")))
 
 
-def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_bars(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
     """Daily bars per market segment on a damped scale (price to the power 0.01, base
     100 at 250,000, six decimals): the raw closes jump tenfold from day to day, the
     damped ones move by a percent or two, as label thresholds and backtests expect."""
-    bars = order_bars(spark, sf_dir)
+    bars = order_bars(spark, sf_dir, start, end)
     damp = {p: F.round(100.0 * F.pow(F.col(p) / 250000.0, F.lit(0.01)), 6) for p in ("open", "high", "low", "close")}
     return bars.withColumns(damp)
