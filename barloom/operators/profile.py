@@ -89,18 +89,16 @@ def class_distribution(df: DataFrame, column: str, key: str = "symbol") -> DataF
     counts = df.filter(F.col(column).isNotNull()).groupBy(key, F.col(column).cast("string").alias("class_value")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    w = Window.partitionBy(key)
-    imbalance = F.max("n").over(w).cast("double") / F.min("n").over(w)
-    return counts.withColumns(
-        {
-            "pct": 100.0 * F.col("n") / F.sum("n").over(w),
-            "n_classes": F.count(F.lit(1)).over(w),
-            "imbalance": imbalance,
-            "balance": band(
-                imbalance, [(1.5, "balanced"), (3.0, "slightly_imbalanced"), (10.0, "imbalanced")], "severely_imbalanced"
-            ),
-        }
+    totals = counts.groupBy(key).agg(
+        F.sum("n").alias("total"),
+        F.count(F.lit(1)).alias("n_classes"),
+        (F.max("n").cast("double") / F.min("n")).alias("imbalance"),
+    )
+    balance = band(
+        "imbalance", [(1.5, "balanced"), (3.0, "slightly_imbalanced"), (10.0, "imbalanced")], "severely_imbalanced"
     )
+    out = counts.join(totals, key).withColumns({"pct": 100.0 * F.col("n") / F.col("total"), "balance": balance})
+    return out.drop("total")
 
 
 def binary_balance(df: DataFrame, column: str, key: str = "symbol") -> DataFrame:

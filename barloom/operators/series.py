@@ -84,12 +84,17 @@ def numbered_by_bucket(df: DataFrame, bucket: Column, order: str = "ts", key: st
 
     Rows are counted per (symbol, calendar bucket); the counts, one row per bucket,
     are summed over the earlier buckets; rows are then numbered inside their bucket
-    only.  ``bucket`` must not decrease with ``order``.
+    only.  ``bucket`` must not decrease with ``order``.  ``n_rows`` is the symbol's length.
     """
     df = df.withColumn("bkt", bucket)
     counts = df.groupBy(key, "bkt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(key).orderBy("bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "bkt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    offsets = counts.select(
+        key,
+        "bkt",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"),
+        F.sum("n").over(Window.partitionBy(key)).alias("n_rows"),
+    )
     inside = Window.partitionBy(key, "bkt").orderBy(order)
     return (
         df.join(offsets, [key, "bkt"])
@@ -106,14 +111,14 @@ def by_block(
     Calendar days are the default bucket for numbering (86,400 rows at one second).
     """
     bucket = F.col(order).cast("date") if bucket is None else bucket
-    first = F.floor(F.col("rn") / block_rows).cast("long")
-    last = F.floor((F.col("rn") + lookback) / block_rows).cast("long")
+    block_of = lambda row: F.floor(row / block_rows).cast("long")
+    last = F.least(block_of(F.col("rn") + lookback), block_of(F.col("n_rows") - 1))
     spread = (
         numbered_by_bucket(df, bucket, order)
-        .withColumn("blk", F.explode(F.sequence(first, last)))
+        .withColumn("blk", F.explode(F.sequence(block_of(F.col("rn")), last)))
         .withColumn("blk_start", F.col("blk") * block_rows)
+        .drop("n_rows")
     )
-    # a block that would hold copies only (past the end of the series) yields no rows of its own
     return Series(spread, Frames(("symbol", "blk"), ("rn",)), halo=True)
 
 

@@ -16,6 +16,7 @@ from barloom.operators import series as se
 from barloom.plans import sql as q
 from barloom.plans.profile_queries import CLASS_SQL, labelled
 from barloom.plans.registry import query
+from barloom.session import stored
 from barloom.sources import tables
 
 FEATURE_SQL = [
@@ -299,7 +300,7 @@ def _nine_digits(spark, sf):
 
 
 def _corr_table(spark, sf):
-    df = with_target(spark, sf)
+    df = stored(with_target(spark, sf), "features")
     return df, sl.relations(df, ft.FEATURES, "target_return")
 
 
@@ -367,7 +368,7 @@ def fea_08(spark, sf):
 
 @query("fea_09_select_features")
 def fea_09(spark, sf):
-    df = lb.direction_labels(features(spark, sf), F.lit(0.012), F.lit(-0.012))
+    df = stored(lb.direction_labels(features(spark, sf), F.lit(0.012), F.lit(-0.012)), "labelled")
     kept = sl.select_features(df, ft.FEATURES, "target_class")
     return spark.createDataFrame([(f, i) for i, f in enumerate(kept, 1)], "feature string, place int")
 

@@ -33,11 +33,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine runs, tests) is a local
+    Only where the session names none and runs on one machine (tests) is a local
     temporary folder made, and then remembered in the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.barloom.workdir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.barloom.workdir", folder)
     return folder.rstrip("/")
