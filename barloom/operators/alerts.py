@@ -10,8 +10,8 @@ from barloom.operators.indicators import add_rsi
 from barloom.operators.series import by_symbol, last_rows
 from barloom.sources.bars import clean
 
-CONDITION = "reference double, rsi_limit double"
-# fixed values: rule types as stored by existing users
+# fixed values: condition fields and rule types, ours and those existing users have stored
+CONDITION = "reference double, rsi_limit double, valor_referencia double, limiar_rsi double"
 STORED_TYPES = {
     "preco_acima": "price_above",
     "preco_abaixo": "price_below",
@@ -26,7 +26,12 @@ def parse_rules(rules: DataFrame) -> DataFrame:
     """Condition text to a struct; stored type names are accepted beside ours."""
     names = F.create_map(*[F.lit(x) for pair in STORED_TYPES.items() for x in pair])
     kind = F.coalesce(names[F.col("type")], F.col("type"))
-    return rules.withColumns({"condition": F.from_json("condition", CONDITION), "type": kind})
+    given = F.from_json("condition", CONDITION)
+    condition = F.struct(
+        F.coalesce(given["reference"], given["valor_referencia"]).alias("reference"),
+        F.coalesce(given["rsi_limit"], given["limiar_rsi"]).alias("rsi_limit"),
+    )
+    return rules.withColumns({"condition": condition, "type": kind})
 
 
 def _plain(x: Column) -> Column:

@@ -96,16 +96,37 @@ def prediction_table(samples: DataFrame) -> DataFrame:
     return ev.sample_uncertainty(samples, ["symbol", "ts", "real"])
 
 
-def train_and_evaluate(spark: SparkSession, bars: DataFrame, samples: int = SAMPLES) -> dict:
-    """Features, selection, labels, windows, split, fit, repeated scoring, thresholds, metrics."""
+def with_replicas(train: DataFrame, labelled: DataFrame, features: list[str]) -> DataFrame:
+    """Training windows and those of augmented replicas of the training rows, which carry
+    the same class weights.  Test rows are never replicated."""
+    source = labelled.join(train.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+    weights = train.select("target_class", "weight").distinct()
+    extra = augmented_rows(source, features).join(weights, "target_class")
+    keep = ["symbol", "ts", "target_class", "features", "weight"]
+    return train.select(*keep).unionByName(extra.select(*keep))
+
+
+def train_and_evaluate(spark: SparkSession, bars: DataFrame, samples: int = SAMPLES, replicas: bool = True) -> dict:
+    """Features, selection, labels, replicas, windows, split, fit, repeated scoring,
+    thresholds, metrics."""
     labelled = stored(labelled_features(bars), "labelled")
     features = select_features(labelled, FEATURES, "target_class")
     rows = stored(training_rows(labelled, features), "windows")
-    models = fit_bag(rows.filter("is_train"), samples)
+    train = rows.filter("is_train")
+    if replicas:
+        train = stored(with_replicas(train, labelled, features), "training")
+    models = fit_bag(train, samples)
     table = stored(prediction_table(score_bag(models, rows.filter("NOT is_train"))), "predictions")
     thresholds = ev.search_thresholds(table.withColumn("_all", F.lit("all")), ["_all"]).drop("_all")
     metrics = ev.confusion(table, ["symbol"]).select("symbol", *[v.alias(k) for k, v in ev.class_metrics().items()])
-    return {"features": features, "labelled": labelled, "models": models, "predictions": table, "thresholds": thresholds, "metrics": metrics}
+    return {
+        "features": features,
+        "labelled": labelled,
+        "models": models,
+        "predictions": table,
+        "thresholds": thresholds,
+        "metrics": metrics,
+    }
 
 
 def latest_windows(labelled: DataFrame, features: list[str]) -> DataFrame:

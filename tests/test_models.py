@@ -152,7 +152,7 @@ def _rules(spark):
         (2, "X", "rsi_overbought", '{"rsi_limit": 70}', True, None),
         (3, "X", "price_above", '{"reference": 90.0}', False, None),
         (4, "Y", "price_above", '{"reference": 90.0}', True, None),
-        (5, "X", "preco_abaixo", '{"reference": 50.0}', True, None),
+        (5, "X", "preco_abaixo", '{"valor_referencia": 50.0}', True, None),
     ]
     return al.parse_rules(spark.createDataFrame(rows, "rule_id int, symbol string, type string, condition string, active boolean, message string"))
 
@@ -175,3 +175,22 @@ def test_history_diagnostics(spark):
     assert got["over"].overfitting and got["over"].overfitting_trend and not got["over"].converged
     assert got["over"].indicators == "high_loss_ratio,high_accuracy_gap"
     assert got["done"].converged and not got["done"].overfitting
+
+
+def test_replicas_join_the_training_rows_only(spark):
+    from barloom.operators import classifier as cl
+    from barloom.session import stored
+
+    labelled = stored(cl.labelled_features(index_bars(spark, SMALL)), "labelled")
+    names = ["rsi", "macd", "roc"]
+    rows = stored(cl.training_rows(labelled, names), "windows")
+    train = rows.filter("is_train")
+    grown = cl.with_replicas(train, labelled, names)
+    assert grown.filter("NOT symbol LIKE '%#%'").count() == train.count()
+    late = rows.filter("NOT is_train").groupBy("symbol").agg(F.min("ts").alias("first_test"))
+    made = grown.filter("symbol LIKE '%#%'").withColumn("symbol", F.substring_index("symbol", "#", 1))
+    assert made.count() > 0
+    assert made.join(late, "symbol").filter("ts >= first_test").count() == 0
+    model = cl.fit(train)
+    p = cl.score(model, rows.filter("NOT is_train")).withColumn("total", F.col("p0") + F.col("p1") + F.col("p2"))
+    assert p.filter("abs(total - 1) > 1e-9").count() == 0
