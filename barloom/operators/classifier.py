@@ -46,7 +46,9 @@ def training_rows(labelled: DataFrame, features: list[str]) -> DataFrame:
     rows = _filled(labelled.filter("target_class IS NOT NULL"), features).na.drop(subset=features)
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     rows = rows.withColumn("_n", n).filter(F.col("_n") >= 2 * LOOKBACK).drop("_n")
-    split = ordered_split(windows(rows, features))
+    # both tables are read twice: for the ranges and the rows, for the weights and the rows
+    rows = stored(rows.select("symbol", "ts", "target_class", *features), "filled")
+    split = stored(ordered_split(windows(rows, features)), "split")
     weights = class_weights(split.filter("is_train").withColumn("_all", F.lit("all")), key="_all")
     return split.join(weights.select("target_class", "weight"), "target_class", "left").na.fill({"weight": 1.0})
 
@@ -54,9 +56,11 @@ def training_rows(labelled: DataFrame, features: list[str]) -> DataFrame:
 def augmented_rows(labelled: DataFrame, features: list[str]) -> DataFrame:
     """Windows of the replicas the augmentation policy makes, every replica its own series."""
     rows = labelled.filter("target_class IS NOT NULL").na.drop(subset=features)
-    made = augment(rows, [*features, "close"]).filter("replica > 0")
+    rows = stored(rows.select("symbol", "ts", "target_class", *features), "sources")
+    made = augment(rows, features).filter("replica > 0")
     series = F.concat_ws("#", "symbol", F.col("replica").cast("string"))
-    return windows(made.withColumn("symbol", series), features)
+    made = stored(made.select(series.alias("symbol"), "ts", "target_class", *features), "replicas")
+    return windows(made, features)
 
 
 def fit(train: DataFrame, seed_label: str = "0", max_iter: int = 20):
