@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import bwt_dedup, decontaminate, html_paths, line_dedup, mixing, near_dedup, pii, quality, secrets, sharding
+from barloom.llm.oracles import ORACLES
 from barloom.session import stored
 
+__all__ = ["ORACLES", "QUERIES"]
+
 SHARDS = 40
 #: a fixed key, so that results can be compared; a real run names a secret one
 KEY = "registered-query"
