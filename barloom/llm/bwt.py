@@ -8,22 +8,32 @@ from __future__ import annotations
 import numpy as np
 
 
+def _ranked(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order of the keys; their ranks (equal keys: equal ranks, from 1 on) are put into ``rank``."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank[order] = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
+    return order
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by their first ``depth`` symbols at least (prefix doubling)."""
-    _, rank = np.unique(symbols, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    n, h = len(symbols), 1
+    n = len(symbols)
+    # as many symbols as fit in one number are compared at once to begin with
+    bits = max(1, int(symbols.max() + 1).bit_length())
+    h = max(1, min(62 // bits, depth))
+    key = np.zeros(n + h, np.int64)
+    for j in range(h):
+        key[: max(0, n - j)] |= (symbols[j:] + 1) << (bits * (h - 1 - j))
+    key = key[:n]
+    rank = np.zeros(n, np.int64)
+    order = _ranked(key, rank)
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - h] = rank[h:]
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
-        rank, h = new, 2 * h
         if h >= depth or rank[order[-1]] == n:
             return order
+        key = rank * (n + 1)
+        key[: max(0, n - h)] += rank[h:]
+        order, h = _ranked(key, rank), 2 * h
 
 
 def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
@@ -64,8 +74,12 @@ def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
         if len(own) > len(low):
             # expansions by one symbol are runs of targets in order
             group = own * (len(pieces) + 256) + last[at]
-            ranked = np.argsort(group, kind="stable")
-            group, target = group[ranked], target[ranked]
+            if (int(group.max()) + 1) * n < 1 << 63:
+                key = np.sort(group * n + target)
+                group, target = key // n, key % n
+            else:
+                ranked = np.argsort(group, kind="stable")
+                group, target = group[ranked], target[ranked]
             begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             left, right = target[begin], target[np.concatenate([begin[1:], [len(group)]]) - 1] + 1
         else:

@@ -1,9 +1,9 @@
 """Exact removal of repeated byte strings over a whole corpus.
 
 Every byte covered by a string of ``length`` bytes that also starts anywhere else is removed.  Two places with equal
-strings are brought together by a gram that both must choose: of the 16-byte grams inside a string of ``length``
+strings are brought together by a gram that both must choose: of the 96-byte grams inside a string of ``length``
 bytes the one with the least hash (the first of equals) is its anchor.  Neighbouring strings with one anchor are one piece,
-so a text gives a piece per 200 bytes or so, of which at first only hashes are shuffled.
+so a text gives a piece per 150 bytes or so, of which at first only hashes are shuffled.
 
 * Texts that occur several times are covered as a whole and take part once.
 * A piece that occurs in several places is covered as a whole.
@@ -35,7 +35,7 @@ from barloom.llm.types import BINARY, INT, LONG, STRING, many, row
 from barloom.session import stored
 
 LENGTH = 400
-GRAM = 16
+GRAM = 96
 CROWDED = 2000
 #: bytes of pieces whose transform is built at once (one anchor is never split over blocks)
 BLOCK = 2_000_000
@@ -58,7 +58,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 def pieces(text: bytes, length: int = LENGTH, turn: int = 0) -> list[tuple[int, int, int, int]]:
     """(start, number of strings, anchor hash, content hash) of the pieces of a text; ``turn`` picks the hash."""
     out: list[tuple[int, int, int, int]] = []
-    gram = min(GRAM, length)
+    gram = min(GRAM, max(1, length // 4))
     data = np.frombuffer(text, np.uint8)
     for first in range(0, max(0, len(data) - length + 1), _CHUNK - length):
         own = data[first : first + _CHUNK - 1]
