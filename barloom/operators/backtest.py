@@ -171,10 +171,10 @@ def grid_signals(bars: DataFrame) -> DataFrame:
 
 
 def grid_backtest(bars: DataFrame) -> DataFrame:
-    """Statistics of every pair; partitioned by (symbol, n1, n2), so 63 times as many tasks
+    """Statistics of every pair; dealt out by (symbol, n1, n2), so 63 times as many tasks
     can work as there are symbols."""
     keys = ("symbol", "n1", "n2")
-    return backtest_stats(equity_curve(grid_signals(bars), keys), keys)
+    return backtest_stats(equity_curve(grid_signals(bars).repartition(*keys), keys), keys)
 
 
 def optimise(bars: DataFrame) -> DataFrame:

@@ -61,9 +61,8 @@ def noise(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
 
 
 def return_noise(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
-    """Alternate noise: mean sample deviation of the returns of the first five columns
-    that hold more than 10 values."""
-    columns = columns[:5]
+    """Alternate noise: mean sample deviation of the returns of the columns that hold
+    more than 10 values."""
     w = by_symbol(bars).frames.ordered()
     df = bars.withColumns({f"r_{c}": ratio(F.col(c) - F.lag(c).over(w), F.lag(c).over(w)) for c in columns})
     agg = df.groupBy("symbol").agg(
@@ -315,9 +314,9 @@ def _long(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
 
 
 def moments(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
-    """Moments of the first five columns with at least 3 values; skew and excess kurtosis
+    """Moments of the columns with at least 3 values; skew and excess kurtosis
     are the bias-adjusted ones (Spark's own are population moments)."""
-    agg = _long(bars, columns[:5]).groupBy("symbol", "column_name").agg(
+    agg = _long(bars, columns).groupBy("symbol", "column_name").agg(
         F.count("v").cast("double").alias("n"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
@@ -350,12 +349,12 @@ def moments(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
 
 
 def season_effect(bars: DataFrame, season: Column, min_rows: int, limit: float, columns: list[str] = NUMERIC) -> DataFrame:
-    """Deviation of the season means over the deviation of all rows, first three columns.
+    """Deviation of the season means over the deviation of all rows.
 
     Sums, squares and counts per season are enough for both deviations, so the rows are
     read once and only (symbol, column, season) partials are shuffled.
     """
-    df = _long(bars.withColumn("season", season), columns[:3], "season")
+    df = _long(bars.withColumn("season", season), columns, "season")
     per = df.groupBy("symbol", "column_name", "season").agg(
         F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("var")
     )
@@ -410,10 +409,10 @@ def student_p(t: Column, dof: Column) -> Column:
 
 
 def trend(bars: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
-    """Linear trend of the first five columns on the position among their non-null values
+    """Linear trend of the columns on the position among their non-null values
     (symbols over 100 rows, columns with 10 values or more)."""
     n_rows = F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("n_rows")
-    df = _long(bars.select("*", n_rows).filter("n_rows > 100"), columns[:5], "ts")
+    df = _long(bars.select("*", n_rows).filter("n_rows > 100"), columns, "ts")
     x = F.row_number().over(Window.partitionBy("symbol", "column_name").orderBy("ts")) - 1
     df = df.withColumn("x", x.cast("double"))
     agg = df.groupBy("symbol", "column_name").agg(

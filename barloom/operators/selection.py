@@ -132,20 +132,12 @@ def relations(df: DataFrame, features: list[str], target: str) -> dict:
     }
 
 
-def feature_cap(n_rows: int) -> int:
-    # fixed values: most features by data set size
-    return 8 if n_rows < 1000 else 12 if n_rows < 5000 else 20
-
-
-def select_features(df: DataFrame, features: list[str], target: str) -> list[str]:
-    """Correlation filter, variance filter, then the top by importance.  Fewer than ten
-    features, or no more than the cap, are all kept."""
+def select_features(df: DataFrame, features: list[str], target: str, max_features: int = 12) -> list[str]:
+    """Correlation filter, variance filter, then the top by importance, whatever the number
+    of rows.  Fewer than ten features are all kept."""
     if len(features) < 10:
         return features
     rel = relations(df, features, target)
-    cap = feature_cap(rel["n_rows"])
-    if len(features) <= cap:
-        return features
     kept = correlation_filter(features, rel["corr"], rel["target"])
     varied = [f for f in kept if rel["variance"][f] >= MIN_VARIANCE]
     kept = varied or kept
@@ -156,7 +148,7 @@ def select_features(df: DataFrame, features: list[str], target: str) -> list[str
         scores = pearson_importance(all_rows, kept, target, key="_all", spearman=False)
     by_score = {r["feature"]: r["score"] for r in scores.collect()}  # one row per feature
     order = sorted(kept, key=lambda f: -(by_score.get(f) or 0.0))
-    kept = order[: max(4, min(cap, int(len(order) * 0.8)))]
+    kept = order[: max(4, min(max_features, int(len(order) * 0.8)))]
     for extra in ESSENTIAL:
         if len(kept) < 4 and extra not in kept:
             kept.append(extra)

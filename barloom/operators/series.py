@@ -148,8 +148,8 @@ def smooth(series: Series, specs: list[Smooth]) -> Series:
     passes.  Rows before ``start`` are null.
     """
     steepest = max(-math.log(1.0 - s.alpha) for s in specs)
-    seg_rows = 2048 if steepest * 2048 < 700 else 512
-    if steepest * seg_rows >= 700:
+    seg_rows = 2048 if steepest * 2048 < 600 else 512
+    if steepest * seg_rows >= 600:
         raise ValueError("alpha too large for the segment scan; use a span of 2 or more")
     f = series.frames
     seg, j = F.floor(F.col("rn") / seg_rows), F.col("rn") % seg_rows

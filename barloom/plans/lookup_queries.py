@@ -234,13 +234,17 @@ def joi_07(spark, sf):
 @query(
     "srt_01_sorted_index",
     q.with_(q.ORDER_BARS)
-    + f"SELECT symbol, ts, {q.rnd('close')} AS close, CAST(row_number() OVER (ORDER BY ts DESC, symbol) AS BIGINT) AS place FROM bars ORDER BY ts DESC, symbol LIMIT 100",
+    + f"SELECT symbol, ts, {q.rnd('close')} AS close, CAST(row_number() OVER (ORDER BY ts DESC, symbol) AS BIGINT) AS place FROM bars ORDER BY ts DESC, symbol",
 )
 def srt_01(spark, sf):
-    """The hundred newest bars of all symbols, newest first."""
-    newest = tables.order_bars(spark, sf).orderBy(F.desc("ts"), "symbol").limit(100)
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("ts"), "symbol"))  # over the 100 kept rows
-    return newest.select("symbol", "ts", rounded("close").alias("close"), place.cast("long").alias("place"))
+    """All bars, newest first.  Places come from the number of bars of the days after and the
+    place inside a day, so only one row per day is numbered in one task."""
+    bars = tables.order_bars(spark, sf).select("symbol", "ts", "close")
+    later = F.sum("n").over(Window.orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1))
+    days = bars.groupBy("ts").agg(F.count(F.lit(1)).alias("n")).select("ts", F.coalesce(later, F.lit(0)).alias("later"))
+    inside = F.row_number().over(Window.partitionBy("ts").orderBy("symbol"))
+    placed = bars.withColumn("inside", inside).join(days, "ts").orderBy(F.desc("ts"), "symbol")
+    return placed.select("symbol", "ts", rounded("close").alias("close"), (F.col("later") + F.col("inside")).cast("long").alias("place"))
 
 
 @query(

@@ -260,7 +260,7 @@ def season_sql(bars: str, season: str, min_rows: int, limit: float) -> str:
     SELECT symbol, column_name, season, avg(v) AS m FROM u GROUP BY 1, 2, 3) JOIN
     (SELECT symbol, column_name, stddev_samp(v) AS sd, count(*) AS n FROM u GROUP BY 1, 2) USING (symbol, column_name)
   WHERE n > {min_rows} GROUP BY 1, 2 HAVING count(*) > 1) WINDOW w AS (PARTITION BY symbol)""".replace(
-        "FROM u", f"FROM (SELECT *, {season} AS season FROM ({unpivot('bars', COLS[:3])})) u"
+        "FROM u", f"FROM (SELECT *, {season} AS season FROM ({unpivot('bars', COLS)})) u"
     )
 
 

@@ -291,12 +291,12 @@ def src_11(spark, sf):
     """SELECT symbol, ts, priority, close FROM (
   SELECT *, min(priority) OVER (PARTITION BY symbol) AS best FROM (
     SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS ts, round(value, 6) + 0.0 AS close,
-      CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS priority FROM events WHERE value > 150)
+      CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS priority FROM events)
   WHERE priority < 3 OR ts BETWEEN DATE '2024-01-10' AND DATE '2024-01-20') WHERE priority = best""",
 )
 def src_12(spark, sf):
-    """Large values per user; clicks are the first source, views the second, the rest the third."""
-    ev = tables.table(spark, sf, "events").filter("value > 150")
+    """Values per user; clicks are the first source, views the second, the rest the third."""
+    ev = tables.table(spark, sf, "events")
     kind = F.col("event_type")
     raw = ev.select(
         F.col("user_id").cast("string").alias("symbol"),
@@ -384,14 +384,14 @@ def src_16(spark, sf):
     "src_16_unique_insert_update_delete",
     f"""SELECT k, CASE WHEN c.c_custkey IS NOT NULL AND o.p > 400000 THEN 'big' ELSE coalesce(c.c_mktsegment, 'new') END AS segment,
   {q.rnd('CASE WHEN c.c_custkey IS NOT NULL THEN coalesce(o.p, c.c_acctbal) ELSE o.p END')} AS balance FROM (
-  SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0 UNION SELECT o_custkey FROM orders)
-  LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON c.c_custkey = k
+  SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders)
+  LEFT JOIN customer c ON c.c_custkey = k
   LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS p FROM orders GROUP BY 1) o ON o.o_custkey = k
   WHERE k % 10 <> 3""",
 )
 def src_16_parts(spark, sf):
     """Unique insert, update of some fields, delete."""
-    cust = tables.table(spark, sf, "customer").filter("c_acctbal > 0")
+    cust = tables.table(spark, sf, "customer")
     base = cust.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
     top = tables.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("balance"))
     changes = top.withColumn("segment", F.when(F.col("balance") > 400000, "big"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.sources.bars import dedupe_bars
 
+KEY = ("symbol", "ts", "source")
+
 
 def decimal_comma(df: DataFrame) -> DataFrame:
     """Text columns for export: ISO dates, decimal commas."""
@@ -43,10 +46,19 @@ def write_report(df: DataFrame, title: Column, values: dict[str, Column], path:
 
 
 def write_history(bars: DataFrame, path: str, mode: str = "append") -> None:
-    """Bars table partitioned by symbol and year, one row per (symbol, ts, source).
+    """Bars table partitioned by symbol and year, one row per (symbol, ts, source), also over
+    several loads: rows whose key an earlier load wrote are left out.
 
     Rows are shuffled by (symbol, year), so no task writes more than one calendar year of
     a symbol and no partition is split over many files.
     """
     out = dedupe_bars(bars).withColumn("year", F.year("ts"))
+    if mode == "append":
+        try:
+            held = bars.sparkSession.read.parquet(path).select("year", *KEY)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            out = out.join(held, ["year", *KEY], "left_anti").select(out.columns)
     out.repartition("symbol", "year").write.mode(mode).partitionBy("symbol", "year").parquet(path)

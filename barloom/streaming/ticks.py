@@ -63,8 +63,9 @@ def price_alerts(bars: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def fire_once(alerts: DataFrame) -> DataFrame:
-    """A rule fires once within the watermark's span; the memory is bounded by time."""
-    return alerts.dropDuplicatesWithinWatermark(["rule_id"])
+    """A rule fires once, however many batches its bars come in; the memory holds one row per
+    rule that has fired and outlives the watermark."""
+    return alerts.drop("at").dropDuplicates(["rule_id"])
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -80,18 +81,22 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def write_cycle(alerts: DataFrame, path: str, batch_id: int) -> None:
+    """Write the messages of one batch that no earlier batch has written."""
+    schema = "rule_id bigint, symbol string, message string"
+    if batch_id > 0:
+        seen = alerts.sparkSession.read.schema(f"{schema}, batch bigint").parquet(path).where(F.col("batch") < batch_id)
+        alerts = alerts.join(seen.select("message"), "message", "left_anti").select("rule_id", "symbol", "message")
+    alerts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def alert_cycles(trigger_stream: DataFrame, cycle, path: str, checkpoint: str) -> None:
     """Run ``cycle(spark) -> alerts`` once per micro-batch and append the messages that are
-    not in ``path`` yet.  A retried batch finds its own messages there and adds none."""
+    not in ``path`` from an earlier batch.  A retried batch does not see its own output, so it
+    writes the same messages again in its place."""
 
     def one_cycle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = "rule_id bigint, symbol string, message string"
-        alerts = cycle(spark)
-        if batch_id > 0:
-            seen = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
-            alerts = alerts.join(seen.select("message"), "message", "left_anti").select("rule_id", "symbol", "message")
-        alerts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        write_cycle(cycle(batch.sparkSession), path, batch_id)
 
     query = (
         trigger_stream.writeStream.foreachBatch(one_cycle)
