@@ -1,3 +1,36 @@
 """SQL that gives the rows of the registered queries, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+OP2 = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item, w, unnest(range(1, greatest(2, len(w) - 11))) AS s FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS g, least(13, len(w)) AS n FROM starts),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM docs, sizes WHERE len(w) >= n),
+grams AS MATERIALIZED (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM places),
+found AS MATERIALIZED (SELECT r, n, s, item FROM grams JOIN wins USING (g, n)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS draw FROM documents),
+s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
+w AS (SELECT src, source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS DOUBLE) AS weight FROM s),
+l AS (SELECT *, CAST(3 * source_size AS DOUBLE) AS cap, row_number() OVER o AS k,
+  (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(CAST(3 * source_size AS DOUBLE)) OVER (ORDER BY 3 * source_size / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY 3 * source_size / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, src)),
+f AS (SELECT arg_min(level, k) AS fill FROM l WHERE level * weight <= cap),
+t AS (SELECT src, source_size, least(cap, weight * coalesce(fill, 0.0)) AS target FROM l, f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target * 100000000 / source_size) AS BIGINT) ELSE 0 END AS rate,
+  (CAST('0x' || substr(md5(src || ':mix'), 1, 7) AS BIGINT) * 100000000) // 268435456 AS shift FROM t),
+n AS (SELECT d.*, row_number() OVER (PARTITION BY src ORDER BY len(CAST(size AS VARCHAR)) * 100 + CAST(substr(CAST(size AS VARCHAR), 1, 2) AS INTEGER), substr(draw, 1, 2), size, draw, doc_id NULLS FIRST) AS i FROM d)
+SELECT doc_id, size, source_size, target, size * ((shift + i * rate) // 100000000 - (shift + (i - 1) * rate) // 100000000) AS taken FROM n JOIN p USING (src)
+"""
+
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op3_mix_sources": OP3}
