@@ -104,7 +104,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     """``docs`` with a struct ``result``: the text without later repeated runs, lines, removed lines and runs."""
     # the stored table gives every row a place that does not change when a task is run again
     columns = [F.col(f"`{c}`") for c in docs.columns if c != result]
-    rows = stored(docs.select(F.struct(*columns).alias("_all"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), marks(F.col(text)).alias("_marks")), "line-marks")
+    rows = stored(docs.select(F.struct(*columns).alias("_all"), F.col(doc_id).alias("_doc"), marks(F.col(text)).alias("_marks")), "line-marks")
     rows = rows.withColumn("_row", F.concat("_metadata.file_name", F.lit(":"), "_metadata.row_index"))
     found = rows.select("_doc", "_row", F.explode("_marks").alias("_m")).select("_doc", "_row", F.col("_m.finger").alias("_finger"), F.col("_m.windows").alias("_windows"))
     repeated = found.groupBy("_finger").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_finger")
@@ -113,4 +113,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     first = windows.groupBy("hash").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     later = windows.join(first, "hash").where(place > F.col("_first"))
     covered = later.groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_cover"))
-    return rows.join(covered, "_row", "left").select("_all.*", _without(F.col("_text"), F.col("_cover")).alias(result))
+    return rows.join(covered, "_row", "left").select("_all.*", _without(F.col(f"_all.`{text}`"), F.col("_cover")).alias(result))
