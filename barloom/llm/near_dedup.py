@@ -8,9 +8,15 @@ once are dropped, and the frequent rest is skipped in the merge and only looked
 
 Candidates come in two steps, so that a group of copies is not spread out into all its pairs.  First each class
 is compared with the two ends (by class id) of every list that it is in.  Their confirmed links give
-components.  Then in every list the pairs from *different* components are compared, so no link between components
-is left out; pairs inside one component could not change it.  Candidates below the number of matches, or whose set sizes
-alone exclude the threshold, are dropped; the others are confirmed on the full sets of both texts.
+components.  What is left to compare are pairs of *different* components among the inner members of a list; pairs
+inside one component could not change it.  A dense list, with members near each other but not linked, has a number of
+such pairs that grows with its square, nearly all below the threshold.  So these members are merged by what is rare in
+them: sets at the threshold overlap so much that they share one of the rarest shingles of each (a prefix as long as
+the sizes of both allow), and postings that only one member or one component has are skipped.  A member's own edits
+fill its prefix, so the common part of the list is never paired.  No link between components is left out.
+
+In both steps collisions are counted: candidates below the number of matches, or whose set sizes alone exclude the
+threshold, are dropped; the others are confirmed on the full sets of both texts.
 
 Cases: null text, or text without words, has an empty set and is linked with nothing; fewer than ``k`` words are one
 shingle; rows that repeat and equal texts are one class; a null id is never the least of its component; an empty
@@ -34,6 +40,8 @@ from barloom.session import stored
 COORDINATES = 32
 #: chance that a pair right at the threshold has too few matches
 MISS = 1e-5
+#: ratio of the sizes of sets posted together in the second step
+SIZES = 1.05
 SKETCH = row(n_shingles=LONG, cls=BINARY, sig=many(INT))
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,6 +102,15 @@ def _sketch(k: int):
     return sketch
 
 
+def _hashes(k: int):
+    @F.arrow_udf(many(LONG))
+    def hashes(texts: pa.Array) -> pa.Array:
+        """The distinct shingle hashes of each text."""
+        return pa.array([values.view(np.int64) for _, _, data, at in w.texts(texts) for values in sets(data, at, k)], pa.list_(pa.int64()))
+
+    return hashes
+
+
 def _shared(k: int):
     @F.arrow_udf(row(inter=LONG, either=LONG))
     def shared(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -128,19 +145,60 @@ def _likely(pairs: DataFrame, matches: int, percent: int) -> DataFrame:
     return pairs.where((F.col("a") != F.col("b")) & sizes).where(agree >= matches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Pairs with ``linked``, judged on the full sets of one text of each class."""
-    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def _texts(needed: DataFrame, docs: DataFrame, reps: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """``cls`` and one text of each class in ``needed``."""
     ids = needed.join(reps, "cls").select(F.col("cls").alias("_cls"), "_rep")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("_rep"), F.col(text).alias("text")).join(ids, "_rep")
     # an id that occurs with several texts: only the class's own one
-    rows = rows.withColumn("_own", _sketch(k)("text")["cls"]).where("_own = _cls").select("_cls", "text").dropDuplicates(["_cls"])
-    left = rows.select(F.col("_cls").alias("a"), F.col("text").alias("ta"))
-    right = rows.select(F.col("_cls").alias("b"), F.col("text").alias("tb"))
+    return rows.withColumn("_own", _sketch(k)("text")["cls"]).where("_own = _cls").select(F.col("_cls").alias("cls"), "text").dropDuplicates(["cls"])
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Pairs with ``linked``, judged on the full sets of one text of each class."""
+    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    rows = _texts(needed, docs, reps, k, doc_id, text)
+    left = rows.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
+    right = rows.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("_s", _shared(k)("ta", "tb"))
     return both.select("a", "b", (100 * F.col("_s.inter") >= percent * F.col("_s.either")).alias("linked"))
 
 
+def _overlap(one, two, percent: int):
+    """The least intersection of sets of these sizes that reaches the threshold."""
+    return F.ceil((one + two) * percent / F.lit(float(100 + percent)) - F.lit(1e-9))
+
+
+def rare_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (cls, n, root, shingles) with different roots that share a shingle in the rarest-first
+    prefixes which their sizes leave; all pairs at the threshold are among them.
+
+    The smaller set (by size, then class) is posted under its size bin; the larger one looks into the bins down to
+    the least size allowed.  Shingles of one member only come first in the order and need no posting."""
+    tokens = members.select("cls", F.explode("shingles").alias("shingle"))
+    shared = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    ranked = tokens.join(shared, "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("_n", "shingle"))).alias("_t"))
+    n = F.col("n")
+    span = lambda size: F.floor(F.log(size.cast("double")) / F.lit(math.log(SIZES))).cast("int")
+    least = F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9))
+    sized = ranked.join(members.select("cls", "n", "root"), "cls").withColumn("_own", n - F.size("_t"))
+    bins = F.explode(F.sequence(span(least), span(n))).alias("bin")
+    probes = sized.select("cls", "n", "root", "_own", "_t", bins)
+    smallest = F.greatest(least, F.floor(F.pow(F.lit(SIZES), "bin")))
+    posted = lambda rows, length: rows.withColumn("_p", (length - F.col("_own")).cast("int")).where("_p > 0").select("cls", "n", "root", "_own", "bin", F.posexplode(F.slice("_t", F.lit(1), F.col("_p"))).alias("_at", "_e")).select("cls", "n", "root", "bin", (F.col("_own") + F.col("_at")).alias("at"), F.col("_e.shingle").alias("shingle"))
+    index = posted(sized.withColumn("bin", span(n)), n - _overlap(n, n, percent) + 1).withColumn("probe", F.lit(0))
+    probe = posted(probes, n - _overlap(n, smallest, percent) + 1).withColumn("probe", F.lit(1))
+    posts = stored(index.unionByName(probe), "near-rare")
+    # skip postings without an index entry or with one root only
+    open_keys = posts.groupBy("shingle", "bin").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("probe").alias("_kind")).where("_low != _high and _kind = 0").select("shingle", "bin")
+    posts = posts.join(open_keys, ["shingle", "bin"])
+    small = posts.where("probe = 0").select("shingle", "bin", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("pa"))
+    large = posts.where("probe = 1").select("shingle", "bin", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("pb"))
+    need = _overlap(F.col("na"), F.col("nb"), percent)
+    fits = (F.col("ra") != F.col("rb")) & (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
+    both = small.join(large, ["shingle", "bin"]).where(fits)
+    return both.select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``cls`` (equal sets), ``component_id`` (least id of the component) of every row."""
     matches = least_matches(percent / 100)
@@ -160,13 +218,17 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str
     judged = stored(_confirmed(first, docs, named, k, percent, doc_id, text), "near-judged")
     roots = components(judged.where("linked").select("a", "b"))
 
-    # second step: pairs of different components in one list
-    labelled = posts.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_lists = labelled.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("token")
-    labelled = stored(labelled.join(open_lists, "token"), "near-open")
-    one = labelled.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("root").alias("ra"))
-    two = labelled.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("root").alias("rb"))
-    cross = one.join(two, "token").where("ra < rb")
+    # second step: pairs of different components among the inner members of a list
+    labelled = posts.select("token", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    ends_of = posts.groupBy("token").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_n > 3")
+    inner = labelled.join(ends_of, "token").where("cls != _low and cls != _high").select("token", "cls", "root")
+    open_lists = inner.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("token")
+    members = stored(inner.join(open_lists, "token").select("cls", "root").distinct(), "near-open")
+    whole = _texts(members.select("cls"), docs, named, k, doc_id, text).select("cls", _hashes(k)("text").alias("shingles"))
+    whole = stored(members.join(whole, "cls").select("cls", "root", F.size("shingles").cast("long").alias("n"), "shingles"), "near-sets")
+    one = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
+    two = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
+    cross = rare_pairs(whole, percent).join(one, "a").join(two, "b")
     second = stored(_likely(cross, matches, percent).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "near-candidates")
     more = stored(_confirmed(second, docs, named, k, percent, doc_id, text).where("linked").select("a", "b"), "near-judged")
     if not more.isEmpty():

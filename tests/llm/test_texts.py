@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -242,6 +243,43 @@ def test_near_duplicates_beside_brute_force(request, table, k, percent):
     assert sorted(found, key=str) == brute_near(rows, k, percent)
 
 
+def dense_rows(n=240, seed=3):
+    """One text with 0 to 14 words changed, added or left out: a crowd of near copies of which some reach the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(15)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([1, 1, 1, 0, 2])] = [f"x{rng.randrange(30)}"] * rng.choice([1, 1, 1, 0])
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
+def test_dense_group_beside_brute_force(spark, k, percent):
+    rows = dense_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, k, percent).collect()]
+    assert sorted(found, key=str) == brute_near(rows, k, percent)
+
+
+@pytest.mark.parametrize("percent", [85, 60])
+def test_rare_pairs_lose_no_link(spark, percent):
+    texts = [t for _, t in dense_rows(160, 8)]
+    data = b"".join(t.encode() for t in texts)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = near_dedup.sets(np.frombuffer(data, np.uint8), at, 3)
+    rows = [(bytes([i]), bytes([i // 2]), len(s), s.view(np.int64).tolist()) for i, s in enumerate(found)]
+    members = spark.createDataFrame(rows, "cls binary, root binary, n long, shingles array<long>")
+    pairs = {frozenset((r["a"][0], r["b"][0])) for r in near_dedup.rare_pairs(members, percent).collect()}
+    both = {(i, j): len(np.intersect1d(found[i], found[j])) for i in range(160) for j in range(i)}
+    linked = {frozenset(p) for p, n in both.items() if p[0] // 2 != p[1] // 2 and 100 * n >= percent * (len(found[p[0]]) + len(found[p[1]]) - n)}
+    assert linked and linked <= pairs
+    assert all(a // 2 != b // 2 for a, b in pairs)
+
+
 def test_one_of_each(odd, nothing):
     out = near_dedup.one_of_each(odd)
     assert out.columns == odd.columns
