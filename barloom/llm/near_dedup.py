@@ -7,7 +7,8 @@ at least ``matches`` of the ``COORDINATES`` pairs, but for a chance of ``MISS``.
 once are dropped, and the frequent rest is skipped in the merge and only looked at when collisions are counted.
 
 Candidates come in two steps, so that a group of copies is not spread out into all its pairs.  First each class
-is compared with the two ends (by class id) of every list that it is in.  Their confirmed links give
+is compared with two ends of every list that it is in: the least class id, and the hub, the member whose values are
+the most frequent ones (in a group of near copies, one with few edits of its own).  Their confirmed links give
 components.  What is left to compare are pairs of *different* components among the inner members of a list; pairs
 inside one component could not change it.  A dense list, with members near each other but not linked, has a number of
 such pairs that grows with its square, nearly all below the threshold.  So these members are merged by what is rare in
@@ -128,14 +129,16 @@ def _shared(k: int):
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """``token``, ``cls``, ``n``, ``sig`` of the pairs under which each class must be posted."""
+    """``token``, ``cls``, ``n``, ``sig`` of the pairs under which each class must be posted, and the class's ``score``:
+    how often its values occur, all together."""
     tokens = classes.select("cls", F.posexplode("sig").alias("_at", "_value")).select("cls", (F.col("_at").cast("long") * F.lit(1 << 32) + F.col("_value").cast("long") + F.lit(1 << 31)).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     # tokens that occur once come first in the order by rarity; they fill the prefix but need no posting
     ranked = tokens.join(shared, "token").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("_n", "token"))).alias("_t"))
     room = F.col("_prefix") - (F.lit(COORDINATES) - F.size("_t"))
-    prefix = ranked.withColumn("_prefix", F.lit(COORDINATES - matches + 1)).where(room > 0).select("cls", F.slice("_t", F.lit(1), room).alias("_t"))
-    return prefix.join(classes, "cls").select(F.explode("_t.token").alias("token"), "cls", F.col("n_shingles").alias("n"), "sig")
+    prefix = ranked.withColumn("_prefix", F.lit(COORDINATES - matches + 1)).where(room > 0)
+    prefix = prefix.select("cls", F.slice("_t", F.lit(1), room).alias("_t"), F.aggregate("_t", F.lit(0).cast("long"), lambda acc, x: acc + x["_n"]).alias("score"))
+    return prefix.join(classes, "cls").select(F.explode("_t.token").alias("token"), "cls", F.col("n_shingles").alias("n"), "sig", "score")
 
 
 def _likely(pairs: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -210,8 +213,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str
     posts = stored(postings(classes, matches), "near-postings")
 
     # first step: the ends of every list
-    ends = posts.groupBy("token").agg(F.min(F.struct("cls", "n", "sig")).alias("low"), F.max(F.struct("cls", "n", "sig")).alias("high"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    ends = ends.select("token", F.explode(F.array("low", "high")).alias("e"))
+    ends = posts.groupBy("token").agg(F.min(F.struct("cls", "n", "sig")).alias("low"), F.max(F.struct("score", "cls", "n", "sig")).alias("hub"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    ends = ends.select("token", F.explode(F.array("low", F.struct("hub.cls", "hub.n", "hub.sig"))).alias("e"))
     ends = ends.select("token", F.col("e.cls").alias("b"), F.col("e.n").alias("nb"), F.col("e.sig").alias("sb"))
     left = posts.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     first = stored(_likely(left.join(ends, "token"), matches, percent), "near-candidates")
@@ -220,8 +223,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str
 
     # second step: pairs of different components among the inner members of a list
     labelled = posts.select("token", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ends_of = posts.groupBy("token").agg(F.min("cls").alias("_low"), F.max("cls").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_n > 3")
-    inner = labelled.join(ends_of, "token").where("cls != _low and cls != _high").select("token", "cls", "root")
+    ends_of = posts.groupBy("token").agg(F.min("cls").alias("_low"), F.max(F.struct("score", "cls"))["cls"].alias("_hub"))
+    inner = labelled.join(ends_of, "token").where("cls != _low and cls != _hub").select("token", "cls", "root")
     open_lists = inner.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("token")
     members = stored(inner.join(open_lists, "token").select("cls", "root").distinct(), "near-open")
     whole = _texts(members.select("cls"), docs, named, k, doc_id, text).select("cls", _hashes(k)("text").alias("shingles"))
