@@ -17,7 +17,9 @@ the sizes of both allow), and postings that only one member or one component has
 fill its prefix, so the common part of the list is never paired.  No link between components is left out.
 
 In both steps collisions are counted: candidates below the number of matches, or whose set sizes alone exclude the
-threshold, are dropped; the others are confirmed on the full sets of both texts.
+threshold, are dropped; the others are confirmed on the full sets of both texts.  The second step counts inside its
+join, on the low byte of each coordinate: that many coordinates agree at least, so no link is lost, and pairs that the
+count excludes are never written or shuffled.
 
 Cases: null text, or text without words, has an empty set and is linked with nothing; fewer than ``k`` words are one
 shingle; rows that repeat and equal texts are one class; a null id is never the least of its component; an empty
@@ -27,10 +29,11 @@ table gives an empty result; only id and text are read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import words as w
@@ -148,6 +151,24 @@ def _likely(pairs: DataFrame, matches: int, percent: int) -> DataFrame:
     return pairs.where((F.col("a") != F.col("b")) & sizes).where(agree >= matches).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def low_bytes(sig: Column) -> Column:
+    """The low byte of every coordinate of a signature, eight to a number."""
+    word = lambda j: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.get(sig, j + i).cast("long").bitwiseAND(F.lit(255)), 8 * i) for i in range(8)])
+    return F.array(*[word(j) for j in range(0, COORDINATES, 8)])
+
+
+def bytes_agreeing(x: Column, y: Column) -> Column:
+    """How many of the bytes of two arrays of :func:`low_bytes` are equal."""
+
+    def differ(one: Column, two: Column) -> Column:
+        bits = one.bitwiseXOR(two)
+        for step in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.lit(COORDINATES) - reduce(lambda n, d: n + d, [differ(F.get(x, j), F.get(y, j)) for j in range(COORDINATES // 8)])
+
+
 def _texts(needed: DataFrame, docs: DataFrame, reps: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """``cls`` and one text of each class in ``needed``."""
     ids = needed.join(reps, "cls").select(F.col("cls").alias("_cls"), "_rep")
@@ -171,35 +192,41 @@ def _overlap(one, two, percent: int):
     return F.ceil((one + two) * percent / F.lit(float(100 + percent)) - F.lit(1e-9))
 
 
-def rare_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (cls, n, root, shingles) with different roots that share a shingle in the rarest-first
-    prefixes which their sizes leave; all pairs at the threshold are among them.
+def rare_pairs(members: DataFrame, percent: int, matches: int = 0) -> DataFrame:
+    """Pairs (a, b), a < b, of ``members`` (cls, n, root, shingles) with different roots that share a shingle in the
+    rarest-first prefixes which their sizes leave; with ``matches``, only those that agree in the low bytes (column
+    ``low``) of so many coordinates.
 
     The smaller set (by size, then class) is posted under its size bin; the larger one looks into the bins down to
     the least size allowed.  Shingles of one member only come first in the order and need no posting."""
+    if not matches:
+        members = members.withColumn("low", F.lit(None).cast("array<long>"))
     tokens = members.select("cls", F.explode("shingles").alias("shingle"))
     shared = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     ranked = tokens.join(shared, "shingle").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("_n", "shingle"))).alias("_t"))
     n = F.col("n")
     span = lambda size: F.floor(F.log(size.cast("double")) / F.lit(math.log(SIZES))).cast("int")
     least = F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9))
-    sized = ranked.join(members.select("cls", "n", "root"), "cls").withColumn("_own", n - F.size("_t"))
+    sized = ranked.join(members.select("cls", "n", "root", "low"), "cls").withColumn("_own", n - F.size("_t"))
     bins = F.explode(F.sequence(span(least), span(n))).alias("bin")
-    probes = sized.select("cls", "n", "root", "_own", "_t", bins)
+    probes = sized.select("cls", "n", "root", "low", "_own", "_t", bins)
     smallest = F.greatest(least, F.floor(F.pow(F.lit(SIZES), "bin")))
-    posted = lambda rows, length: rows.withColumn("_p", (length - F.col("_own")).cast("int")).where("_p > 0").select("cls", "n", "root", "_own", "bin", F.posexplode(F.slice("_t", F.lit(1), F.col("_p"))).alias("_at", "_e")).select("cls", "n", "root", "bin", (F.col("_own") + F.col("_at")).alias("at"), F.col("_e.shingle").alias("shingle"))
+    posted = lambda rows, length: rows.withColumn("_p", (length - F.col("_own")).cast("int")).where("_p > 0").select("cls", "n", "root", "low", "_own", "bin", F.posexplode(F.slice("_t", F.lit(1), F.col("_p"))).alias("_at", "_e")).select("cls", "n", "root", "low", "bin", (F.col("_own") + F.col("_at")).alias("at"), F.col("_e.shingle").alias("shingle"))
     index = posted(sized.withColumn("bin", span(n)), n - _overlap(n, n, percent) + 1).withColumn("probe", F.lit(0))
     probe = posted(probes, n - _overlap(n, smallest, percent) + 1).withColumn("probe", F.lit(1))
     posts = stored(index.unionByName(probe), "near-rare")
     # skip postings without an index entry or with one root only
     open_keys = posts.groupBy("shingle", "bin").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("probe").alias("_kind")).where("_low != _high and _kind = 0").select("shingle", "bin")
     posts = posts.join(open_keys, ["shingle", "bin"])
-    small = posts.where("probe = 0").select("shingle", "bin", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("pa"))
-    large = posts.where("probe = 1").select("shingle", "bin", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("pb"))
+    small = posts.where("probe = 0").select("shingle", "bin", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("at").alias("pa"), F.col("low").alias("la"))
+    large = posts.where("probe = 1").select("shingle", "bin", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("at").alias("pb"), F.col("low").alias("lb"))
     need = _overlap(F.col("na"), F.col("nb"), percent)
     fits = (F.col("ra") != F.col("rb")) & (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
+    fits = fits & (100 * F.col("na") >= percent * F.col("nb"))
+    if matches:
+        fits = fits & (bytes_agreeing(F.col("la"), F.col("lb")) >= matches)
     both = small.join(large, ["shingle", "bin"]).where(fits)
-    return both.select("a", "b").distinct()
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,11 +255,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str
     open_lists = inner.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("token")
     members = stored(inner.join(open_lists, "token").select("cls", "root").distinct(), "near-open")
     whole = _texts(members.select("cls"), docs, named, k, doc_id, text).select("cls", _hashes(k)("text").alias("shingles"))
-    whole = stored(members.join(whole, "cls").select("cls", "root", F.size("shingles").cast("long").alias("n"), "shingles"), "near-sets")
-    one = classes.select(F.col("cls").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    two = classes.select(F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
-    cross = rare_pairs(whole, percent).join(one, "a").join(two, "b")
-    second = stored(_likely(cross, matches, percent).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "near-candidates")
+    sketched = members.join(classes.select("cls", low_bytes(F.col("sig")).alias("low")), "cls")
+    whole = stored(sketched.join(whole, "cls").select("cls", "root", F.size("shingles").cast("long").alias("n"), "shingles", "low"), "near-sets")
+    second = stored(rare_pairs(whole, percent, matches).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "near-candidates")
     more = stored(_confirmed(second, docs, named, k, percent, doc_id, text).where("linked").select("a", "b"), "near-judged")
     if not more.isEmpty():
         roots = components(judged.where("linked").select("a", "b").unionByName(more))
