@@ -139,10 +139,12 @@ def median_path(paths: DataFrame) -> DataFrame:
     return paths.join(mid.select("symbol", "sim"), ["symbol", "sim"], "left_semi")
 
 
-def thin_paths(paths: DataFrame, n_paths: int, at_most: int = 50) -> DataFrame:
-    """Every (n // 50)-th path, 50 at most."""
-    step = max(1, n_paths // at_most)
-    return paths.filter((F.col("sim") % step == 0) & (F.col("sim") < step * at_most))
+def thin_paths(paths: DataFrame, at_most: int = 50) -> DataFrame:
+    """Every (n // 50)-th of a symbol's n paths, 50 at most."""
+    step = F.greatest(F.lit(1), F.floor((F.max("sim") + 1) / at_most)).alias("_step")
+    steps = paths.groupBy("symbol").agg(step)
+    kept = (F.col("sim") % F.col("_step") == 0) & (F.col("sim") < F.col("_step") * at_most)
+    return paths.join(steps, "symbol").filter(kept).drop("_step")
 
 
 def axis_ticks(df: DataFrame, n: int = 10, order: str = "ts", key: str = "symbol") -> DataFrame:

@@ -3,10 +3,10 @@ probabilities and the blend with a model's probabilities."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import argmax_first, band, clip, hash_normal, ratio, safe_ln
+from barloom.functions.expr import argmax_first, band, clip, ratio, safe_ln
 from barloom.operators.series import BY_SYMBOL
 
 # fixed values: limits of a request, accepted periods
@@ -53,37 +53,42 @@ def history_error(bars: DataFrame) -> DataFrame:
     return agg.select("symbol", "n_rows", "n_prices", reason.alias("reason"))
 
 
-def _shocks(params: DataFrame, days: int, sims: int) -> DataFrame:
-    """One row per (symbol, sim, day >= 1).  The simulations are spread over the tasks
-    before the days are unfolded, so no task unfolds a whole symbol."""
-    if not (0 < days <= MAX_DAYS and 0 < sims <= MAX_SIMS):
-        raise ValueError("days must be 1..1000 and simulations 1..10000")
-    per_sim = params.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).repartition("symbol", "sim")
-    rows = per_sim.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days))))
-    z = hash_normal("symbol", "sim", "day")
-    return rows.withColumn("shock", F.when(F.col("day") == 0, 0.0).otherwise(F.col("mu") + F.col("sigma") * z))
+def _starts(bars: DataFrame, days: int, *extra: Column) -> DataFrame:
+    """Every priced bar of a symbol as the start of a stretch: its number ``sim``, the symbol's rows ``n`` and last
+    close ``s0``."""
+    if not 0 < days <= MAX_DAYS:
+        raise ValueError("days must be 1..1000")
+    whole = BY_SYMBOL.whole()
+    return bars.filter("close IS NOT NULL").select(
+        "symbol",
+        (F.row_number().over(BY_SYMBOL.ordered()) - 1).cast("int").alias("sim"),
+        F.count(F.lit(1)).over(whole).alias("n"),
+        F.max_by("close", "ts").over(whole).alias("s0"),
+        *extra,
+    )
 
 
-def paths(params: DataFrame, days: int, sims: int) -> DataFrame:
-    """Scenario table (symbol, sim, day, price); day 0 is the last close."""
-    w = Window.partitionBy("symbol", "sim").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    price = F.col("s0") * F.exp(F.sum("shock").over(w))
-    return _shocks(params, days, sims).select("symbol", "sim", "day", price.alias("price"))
+def paths(bars: DataFrame, days: int) -> DataFrame:
+    """Scenario table (symbol, sim, day, price): every stretch of ``days`` bars of the symbol's own history, moved to
+    its last close, which is day 0.  Symbols without so many bars have none."""
+    ahead = F.collect_list("close").over(BY_SYMBOL.ordered().rowsBetween(0, days))
+    rows = _starts(bars, days, ahead.alias("x")).filter(F.size("x") == days + 1)
+    rows = rows.select("symbol", "sim", "s0", F.col("x")[0].alias("start"), F.posexplode("x").alias("day", "close"))
+    return rows.select("symbol", "sim", "day", ratio(F.col("s0") * F.col("close"), "start").alias("price"))
 
 
-def final_prices(params: DataFrame, days: int, sims: int) -> DataFrame:
-    """Last day's price per path only: each path's shocks are summed where they arise."""
-    agg = _shocks(params, days, sims).groupBy("symbol", "sim").agg(
-        F.sum("shock").alias("total"), F.first("s0").alias("s0"), F.first("n").alias("n")
-    )
-    return agg.select("symbol", "sim", "n", "s0", (F.col("s0") * F.exp("total")).alias("final"))
+def final_prices(bars: DataFrame, days: int) -> DataFrame:
+    """Last day's price of every path only, without its other days."""
+    later = F.lead("close", days).over(BY_SYMBOL.ordered())
+    rows = _starts(bars, days, F.col("close").alias("start"), later.alias("later")).filter("later IS NOT NULL")
+    return rows.select("symbol", "sim", "n", "s0", ratio(F.col("s0") * F.col("later"), "start").alias("final"))
 
 
 STATS = ["start", "mean", "median", "min", "max", "std", "p5", "p95", "expected_return_pct", "cv"]
 
 
 def statistics(finals: DataFrame) -> DataFrame:
-    """Statistics of the final prices (at most 10,000 per symbol)."""
+    """Statistics of the final prices (at most one per bar of the symbol)."""
     agg = finals.groupBy("symbol").agg(
         F.first("s0").alias("start"),
         F.avg("final").alias("mean"),
@@ -121,7 +126,7 @@ def risk_report(stats: DataFrame) -> DataFrame:
 
 
 def class_probabilities(finals: DataFrame) -> DataFrame:
-    """Shares of the simulated returns below, between and above the adaptive thresholds of
+    """Shares of the paths' returns below, between and above the adaptive thresholds of
     those returns; the share of extreme classes goes by the length of the history."""
     df = finals.select("symbol", "n", ratio(F.col("final") - F.col("s0"), "s0").alias("ret"))
     probs = [0.06, 0.05, 0.04, 0.94, 0.95, 0.96]

@@ -20,18 +20,17 @@ from barloom.plans.registry import query
 from barloom.plans.source_queries import POINTS_SQL, month_points
 from barloom.sources import tables
 
-DAYS, SIMS = 10, 500
+DAYS = 10
 
 
-def scenario_sql(days: int, sims: int) -> list[str]:
+def scenario_sql(days: int) -> list[str]:
     return [
         q.INDEX_BARS,
         q.NUMBERED,
         """par AS (SELECT symbol, count(*) AS n, avg(r) AS mu, stddev_samp(r) AS sigma, arg_max(close, ts) AS s0 FROM (
   SELECT symbol, ts, close, ln(close / pc) AS r FROM num) GROUP BY 1)""",
-        f"""shocks AS (SELECT symbol, n, s0, sim, day, CASE WHEN day = 0 THEN 0 ELSE mu + sigma * {q.hash_n("symbol || ':' || sim || ':' || day")} END AS shock
-  FROM par, range({sims}) a(sim), range({days + 1}) b(day))""",
-        """paths AS (SELECT symbol, CAST(sim AS INTEGER) AS sim, CAST(day AS INTEGER) AS day, n, s0, s0 * exp(sum(shock) OVER (PARTITION BY symbol, sim ORDER BY day)) AS price FROM shocks)""",
+        f"""paths AS (SELECT a.symbol, CAST(a.rn AS INTEGER) AS sim, CAST(d.day AS INTEGER) AS day, n, s0, s0 * b.close / a.close AS price
+  FROM num a CROSS JOIN range({days + 1}) d(day) JOIN num b ON b.symbol = a.symbol AND b.rn = a.rn + d.day JOIN par ON par.symbol = a.symbol WHERE a.rn + {days} < n)""",
         f"fin AS (SELECT symbol, sim, n, s0, price AS final FROM paths WHERE day = {days})",
     ]
 
@@ -40,7 +39,7 @@ def _params(spark, sf):
     return sc.parameters(tables.index_bars(spark, sf))
 
 
-@query("scn_01_parameters", q.with_(*scenario_sql(1, 1)) + f"SELECT symbol, n, {q.rnds(['mu', 'sigma', 's0'], 9)} FROM par")
+@query("scn_01_parameters", q.with_(*scenario_sql(1)) + f"SELECT symbol, n, {q.rnds(['mu', 'sigma', 's0'], 9)} FROM par")
 def scn_01(spark, sf):
     return _params(spark, sf).select("symbol", "n", *rounded_cols(["mu", "sigma", "s0"], 9))
 
@@ -68,9 +67,9 @@ def scn_02_request(spark, sf):
     return c.select("c_custkey", reason.alias("reason"))
 
 
-@query("scn_03_paths", q.with_(*scenario_sql(DAYS, SIMS)) + f"SELECT symbol, sim, day, {q.rnd('price')} AS price FROM paths")
+@query("scn_03_paths", q.with_(*scenario_sql(DAYS)) + f"SELECT symbol, sim, day, {q.rnd('price')} AS price FROM paths")
 def scn_03(spark, sf):
-    return sc.paths(_params(spark, sf), DAYS, SIMS).withColumn("price", rounded("price"))
+    return sc.paths(tables.index_bars(spark, sf), DAYS).withColumn("price", rounded("price"))
 
 
 STAT_SQL = """stats AS (SELECT *, 100 * (mean / start - 1) AS expected_return_pct, std / mean AS cv FROM (
@@ -78,32 +77,32 @@ STAT_SQL = """stats AS (SELECT *, 100 * (mean / start - 1) AS expected_return_pc
     quantile_cont(final, 0.05) AS p5, quantile_cont(final, 0.95) AS p95, avg((final > s0)::INT) AS up FROM fin GROUP BY 1))"""
 
 
-@query("scn_04_statistics", q.with_(*scenario_sql(DAYS, SIMS), STAT_SQL) + f"SELECT symbol, {q.rnds(sc.STATS)} FROM stats")
+@query("scn_04_statistics", q.with_(*scenario_sql(DAYS), STAT_SQL) + f"SELECT symbol, {q.rnds(sc.STATS)} FROM stats")
 def scn_04(spark, sf):
-    df = sc.statistics(sc.final_prices(_params(spark, sf), DAYS, SIMS))
+    df = sc.statistics(sc.final_prices(tables.index_bars(spark, sf), DAYS))
     return df.select("symbol", *rounded_cols(sc.STATS))
 
 
 @query(
     "scn_05_risk_report",
-    q.with_(*scenario_sql(DAYS, SIMS), STAT_SQL)
+    q.with_(*scenario_sql(DAYS), STAT_SQL)
     + f"""SELECT symbol, {q.rnd('expected_return_pct', 2)} AS expected_return_pct, CASE WHEN cv < 0.1 THEN 'low' WHEN cv < 0.3 THEN 'moderate' ELSE 'high' END AS risk,
   {q.rnd('100 * up', 1)} AS profit_probability_pct, {q.rnd('p5', 2)} AS band_low, {q.rnd('p95', 2)} AS band_high FROM stats""",
 )
 def scn_05(spark, sf):
-    return sc.risk_report(sc.statistics(sc.final_prices(_params(spark, sf), DAYS, SIMS)))
+    return sc.risk_report(sc.statistics(sc.final_prices(tables.index_bars(spark, sf), DAYS)))
 
 
 CLASS_PROB_SQL = """sr AS (SELECT symbol, n, (final - s0) / s0 AS ret FROM fin),
 sq AS (SELECT symbol, least(0.03, greatest(0.002, abs(CASE WHEN n < 1000 THEN quantile_cont(ret, 0.94) WHEN n < 5000 THEN quantile_cont(ret, 0.95) ELSE quantile_cont(ret, 0.96) END))) AS upper,
   -least(0.03, greatest(0.002, abs(CASE WHEN n < 1000 THEN quantile_cont(ret, 0.06) WHEN n < 5000 THEN quantile_cont(ret, 0.05) ELSE quantile_cont(ret, 0.04) END))) AS lower FROM sr GROUP BY symbol, n),
 sprob AS (SELECT symbol, upper, lower, avg((ret < lower)::INT) AS s0, 1 - avg((ret < lower)::INT) - avg((ret > upper)::INT) AS s1, avg((ret > upper)::INT) AS s2 FROM sr JOIN sq USING (symbol) GROUP BY 1, 2, 3)"""
-FIVE = scenario_sql(5, 1000)
+FIVE = scenario_sql(5)
 
 
 @query("scn_06_class_probabilities", q.with_(*FIVE, CLASS_PROB_SQL) + f"SELECT symbol, {q.rnds(['upper', 'lower', 's0', 's1', 's2'])} FROM sprob")
 def scn_06(spark, sf):
-    df = sc.class_probabilities(sc.final_prices(_params(spark, sf), 5, 1000))
+    df = sc.class_probabilities(sc.final_prices(tables.index_bars(spark, sf), 5))
     return df.select("symbol", *rounded_cols(["upper", "lower", "s0", "s1", "s2"]))
 
 
@@ -121,7 +120,7 @@ bl AS (SELECT *, greatest(b0, b1, b2) AS blend_confidence, CASE WHEN b0 >= b1 AN
 def _blended(spark, sf):
     row = F.max_by(F.struct("p0", "p1", "p2"), "ts")
     model = scored(spark, sf).groupBy("symbol").agg(row.alias("p")).select("symbol", "p.*")
-    return sc.blend(model, sc.class_probabilities(sc.final_prices(_params(spark, sf), 5, 1000)))
+    return sc.blend(model, sc.class_probabilities(sc.final_prices(tables.index_bars(spark, sf), 5)))
 
 
 @query(
@@ -146,20 +145,20 @@ def scn_08(spark, sf):
 
 @query(
     "srt_04_median_path",
-    q.with_(*scenario_sql(DAYS, SIMS))
+    q.with_(*scenario_sql(DAYS))
     + f"""SELECT symbol, sim, day, {q.rnd('price')} AS price FROM paths JOIN (SELECT symbol, sim FROM (
   SELECT symbol, sim, row_number() OVER (PARTITION BY symbol ORDER BY final, sim) - 1 AS place, count(*) OVER (PARTITION BY symbol) AS c FROM fin) WHERE place = c // 2) USING (symbol, sim)""",
 )
 def srt_04(spark, sf):
-    return lk.median_path(sc.paths(_params(spark, sf), DAYS, SIMS)).withColumn("price", rounded("price"))
+    return lk.median_path(sc.paths(tables.index_bars(spark, sf), DAYS)).withColumn("price", rounded("price"))
 
 
 @query(
     "srt_05_thinned_paths",
-    q.with_(*scenario_sql(DAYS, SIMS)) + f"SELECT symbol, sim, day, {q.rnd('price')} AS price FROM paths WHERE sim % {SIMS // 50} = 0",
+    q.with_(*scenario_sql(DAYS)) + f"SELECT symbol, sim, day, {q.rnd('price')} AS price FROM paths WHERE sim % greatest(1, (n - {DAYS}) // 50) = 0 AND sim < 50 * greatest(1, (n - {DAYS}) // 50)",
 )
 def srt_05(spark, sf):
-    return lk.thin_paths(sc.paths(_params(spark, sf), DAYS, SIMS), SIMS).withColumn("price", rounded("price"))
+    return lk.thin_paths(sc.paths(tables.index_bars(spark, sf), DAYS)).withColumn("price", rounded("price"))
 
 
 # -- backtest ---------------------------------------------------------------------------------

@@ -98,16 +98,25 @@ def test_ruined_account_stays_at_zero(spark):
     assert [r.equity for r in bk.equity_curve(df).orderBy("rn").collect()] == [100_000.0, 0.0, 0.0]
 
 
-def test_scenarios_repeat_and_start_at_last_close(spark):
-    params = sc.parameters(index_bars(spark, SMALL))
-    a = sc.paths(params, 5, 40)
-    assert a.count() == params.count() * 40 * 6
+def test_scenarios_are_stretches_of_history(spark):
+    bars = index_bars(spark, SMALL)
+    params = sc.parameters(bars)
+    a = sc.paths(bars, 5)
+    closes = {}
+    for r in bars.orderBy("ts").collect():
+        closes.setdefault(r.symbol, []).append(r.close)
+    want = {(k, i, d): x[-1] * x[i + d] / x[i] for k, x in closes.items() for i in range(len(x) - 5) for d in range(6)}
+    got = {(r.symbol, r.sim, r.day): r.price for r in a.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) <= 1e-9 * abs(v) for k, v in want.items())
     first = a.filter("day = 0").select("symbol", "price").distinct()
     assert first.join(params, "symbol").filter("abs(price - s0) > 1e-9").count() == 0
-    again = sc.paths(params.repartition(7), 5, 40)
+    again = sc.paths(bars.repartition(7), 5)
     assert a.exceptAll(again).count() == 0
+    ends = sc.final_prices(bars, 5)
+    assert {(r.symbol, r.sim): r.final for r in ends.collect()} == {k[:2]: v for k, v in got.items() if k[2] == 5}
+    assert sc.paths(bars, 1000).count() == 0 and sc.final_prices(bars, 1000).count() == 0
     with pytest.raises(ValueError):
-        sc.paths(params, 5, 10_001)
+        sc.paths(bars, 1001)
 
 
 def test_sequences_and_split(spark):
