@@ -11,7 +11,7 @@ from barloom.functions.expr import argmax_first, hash_uniform
 from barloom.operators import evaluate as ev
 from barloom.operators.augment import augment
 from barloom.operators.features import FEATURES, LOOKBACK, feature_suite, ordered_split, sequences
-from barloom.operators.labels import CLASS_NAMES, adaptive_labels, class_weights, min_max
+from barloom.operators.labels import CLASS_NAMES, adaptive_labels, class_weights, min_max, ranges
 from barloom.operators.selection import select_features
 from barloom.operators.series import Series, by_symbol, fill_gaps
 from barloom.session import stored
@@ -28,15 +28,21 @@ def _filled(df: DataFrame, features: list[str]) -> DataFrame:
     return fill_gaps(by_symbol(df), features).df.drop("rn")
 
 
-def _scaled(df: DataFrame, features: list[str]) -> DataFrame:
-    spans = [f"{k}_{f}" for k in ("min", "max") for f in features]
-    return min_max(df, features).drop(*spans)
+def _scaled(df: DataFrame, features: list[str], spans: DataFrame | None = None) -> DataFrame:
+    names = [f"{k}_{f}" for k in ("min", "max") for f in features]
+    return min_max(df, features, spans=spans).drop(*names)
 
 
-def windows(df: DataFrame, features: list[str]) -> DataFrame:
+def fitted_ranges(labelled: DataFrame, features: list[str]) -> DataFrame:
+    """The ranges per symbol that scale the training rows; they belong to the model, and replicas and later rows are
+    scaled by them."""
+    return ranges(_filled(labelled.filter("target_class IS NOT NULL"), features).na.drop(subset=features), features)
+
+
+def windows(df: DataFrame, features: list[str], spans: DataFrame | None = None) -> DataFrame:
     """Scaled, flattened windows as an ML vector ``features`` with the row's class."""
     scaled = [f"scaled_{f}" for f in features]
-    seq = sequences(_scaled(df, features), scaled, "target_class")
+    seq = sequences(_scaled(df, features, spans), scaled, "target_class")
     return seq.select("symbol", "ts", "target_class", array_to_vector(F.flatten("x")).alias("features"))
 
 
@@ -53,14 +59,17 @@ def training_rows(labelled: DataFrame, features: list[str]) -> DataFrame:
     return split.join(weights.select("target_class", "weight"), "target_class", "left").na.fill({"weight": 1.0})
 
 
-def augmented_rows(labelled: DataFrame, features: list[str]) -> DataFrame:
-    """Windows of the replicas the augmentation policy makes, every replica its own series."""
+def augmented_rows(labelled: DataFrame, features: list[str], spans: DataFrame) -> DataFrame:
+    """Windows of the replicas the augmentation policy makes, every replica its own series, scaled by the range of the
+    symbol it was made from."""
     rows = labelled.filter("target_class IS NOT NULL").na.drop(subset=features)
     rows = stored(rows.select("symbol", "ts", "target_class", *features), "sources")
     made = augment(rows, features).filter("replica > 0")
     series = F.concat_ws("#", "symbol", F.col("replica").cast("string"))
-    made = stored(made.select(series.alias("symbol"), "ts", "target_class", *features), "replicas")
-    return windows(made, features)
+    made = made.select(F.col("symbol").alias("_source"), series.alias("symbol"), "ts", "target_class", *features)
+    made = stored(made, "replicas")
+    own = made.select("symbol", "_source").distinct().join(spans.withColumnRenamed("symbol", "_source"), "_source")
+    return windows(made.drop("_source"), features, own.drop("_source"))
 
 
 def fit(train: DataFrame, seed_label: str = "0", max_iter: int = 20):
@@ -100,12 +109,13 @@ def prediction_table(samples: DataFrame) -> DataFrame:
     return ev.sample_uncertainty(samples, ["symbol", "ts", "real"])
 
 
-def with_replicas(train: DataFrame, labelled: DataFrame, features: list[str]) -> DataFrame:
+def with_replicas(train: DataFrame, labelled: DataFrame, features: list[str], spans: DataFrame | None = None) -> DataFrame:
     """Training windows and those of augmented replicas of the training rows, which carry
     the same class weights.  Test rows are never replicated."""
     source = labelled.join(train.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
     weights = train.select("target_class", "weight").distinct()
-    extra = augmented_rows(source, features).join(weights, "target_class")
+    spans = fitted_ranges(labelled, features) if spans is None else spans
+    extra = augmented_rows(source, features, spans).join(weights, "target_class")
     keep = ["symbol", "ts", "target_class", "features", "weight"]
     return train.select(*keep).unionByName(extra.select(*keep))
 
@@ -117,8 +127,9 @@ def train_and_evaluate(spark: SparkSession, bars: DataFrame, samples: int = SAMP
     features = select_features(labelled, FEATURES, "target_class")
     rows = stored(training_rows(labelled, features), "windows")
     train = rows.filter("is_train")
+    spans = stored(fitted_ranges(labelled, features), "ranges")
     if replicas:
-        train = stored(with_replicas(train, labelled, features), "training")
+        train = stored(with_replicas(train, labelled, features, spans), "training")
     models = fit_bag(train, samples)
     table = stored(prediction_table(score_bag(models, rows.filter("NOT is_train"))), "predictions")
     thresholds = ev.search_thresholds(table.withColumn("_all", F.lit("all")), ["_all"]).drop("_all")
@@ -127,16 +138,17 @@ def train_and_evaluate(spark: SparkSession, bars: DataFrame, samples: int = SAMP
         "features": features,
         "labelled": labelled,
         "models": models,
+        "ranges": spans,
         "predictions": table,
         "thresholds": thresholds,
         "metrics": metrics,
     }
 
 
-def latest_windows(labelled: DataFrame, features: list[str]) -> DataFrame:
-    """The window that ends with the newest row of every symbol."""
+def latest_windows(labelled: DataFrame, features: list[str], spans: DataFrame | None = None) -> DataFrame:
+    """The window that ends with the newest row of every symbol, scaled by ``spans``, the model's ranges."""
     rows = _filled(labelled, features).na.drop(subset=features)
-    s: Series = by_symbol(_scaled(rows, features))
+    s: Series = by_symbol(_scaled(rows, features, spans))
     x = F.collect_list(F.array(*[F.col(f"scaled_{f}") for f in features])).over(s.frames.last(LOOKBACK))
     newest = F.col("rn") == F.max("rn").over(s.frames.whole())
     df = s.df.select("symbol", "ts", "target_class", x.alias("x"), newest.alias("newest"))
@@ -144,9 +156,9 @@ def latest_windows(labelled: DataFrame, features: list[str]) -> DataFrame:
     return df.select("symbol", "ts", "target_class", array_to_vector(F.flatten("x")).alias("features"))
 
 
-def next_step(models: list, labelled: DataFrame, features: list[str], t_low: Column, t_high: Column) -> DataFrame:
-    """Class of the next bar per symbol from its newest window, with the searched thresholds."""
-    samples = score_bag(models, latest_windows(labelled, features))
+def next_step(models: list, labelled: DataFrame, features: list[str], t_low: Column, t_high: Column, spans: DataFrame | None = None) -> DataFrame:
+    """Class of the next bar per symbol from its newest window, with the searched thresholds and the model's ranges."""
+    samples = score_bag(models, latest_windows(labelled, features, spans))
     table = ev.sample_uncertainty(samples, ["symbol", "ts"])
     cls = ev.rule_a(F.col("p0"), F.col("p2"), t_low, t_high)
     name = F.element_at(F.array(*[F.lit(CLASS_NAMES[i]) for i in range(3)]), cls + 1)

@@ -96,15 +96,19 @@ def adaptive_labels(bars: DataFrame) -> DataFrame:
 # -- scaling and encoding ------------------------------------------------------------
 
 
-def min_max(df: DataFrame, columns: list[str], fit_on: Column | None = None) -> DataFrame:
-    """Scale to [0,1] per symbol with the range of the rows where ``fit_on`` holds
-    (default all); a constant column becomes 0.  The ranges stay as ``min_x``/``max_x``."""
+def ranges(df: DataFrame, columns: list[str], fit_on: Column | None = None) -> DataFrame:
+    """``min_x`` and ``max_x`` per symbol over the rows where ``fit_on`` holds (default all)."""
     cond = F.lit(True) if fit_on is None else fit_on
-    spans = df.groupBy("symbol").agg(
+    return df.groupBy("symbol").agg(
         *[F.min(F.when(cond, F.col(c))).alias(f"min_{c}") for c in columns],
         *[F.max(F.when(cond, F.col(c))).alias(f"max_{c}") for c in columns],
     )
-    df = df.join(spans, "symbol")
+
+
+def min_max(df: DataFrame, columns: list[str], fit_on: Column | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """Scale to [0,1] per symbol with ``spans``, ranges found before, or with the range of the rows where ``fit_on``
+    holds (default all); a constant column becomes 0.  The ranges stay as ``min_x``/``max_x``."""
+    df = df.join(ranges(df, columns, fit_on) if spans is None else spans, "symbol")
 
     def scaled(c: str) -> Column:
         lo, hi = F.col(f"min_{c}"), F.col(f"max_{c}")

@@ -26,21 +26,22 @@ def _training(spark, sf):
 @query("mod_01_train_evaluate")
 def mod_01(spark, sf):
     """Metrics per symbol on the held-out 30%."""
-    return cl.train_and_evaluate(spark, tables.index_bars(spark, sf), samples=2)["metrics"]
+    return cl.train_and_evaluate(spark, tables.index_bars(spark, sf))["metrics"]
 
 
 @query("mod_02_repeated_scoring")
 def mod_02(spark, sf):
     _, rows = _training(spark, sf)
-    models = cl.fit_bag(rows.filter("is_train"), 3)
+    models = cl.fit_bag(rows.filter("is_train"))
     return cl.score_bag(models, rows.filter("NOT is_train"))
 
 
 @query("mod_03_next_step")
 def mod_03(spark, sf):
-    labelled, rows = _training(spark, sf)
-    models = cl.fit_bag(rows.filter("is_train"), 2)
-    return cl.next_step(models, labelled, SHORT, F.lit(0.4), F.lit(0.4))
+    """The trained bag with the thresholds it found and the ranges of its training rows."""
+    trained = cl.train_and_evaluate(spark, tables.index_bars(spark, sf))
+    t = trained["thresholds"].first()
+    return cl.next_step(trained["models"], trained["labelled"], trained["features"], F.lit(t.t_low), F.lit(t.t_high), trained["ranges"])
 
 
 def with_regressors(spark, sf):

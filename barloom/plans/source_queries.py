@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import rounded, rounded_cols
 from barloom.operators import indicators as ind
+from barloom.operators.profile import exact_quantiles
 from barloom.plans import sql as q
 from barloom.plans.registry import query
 from barloom.session import new_path
@@ -153,9 +154,10 @@ def src_07(spark, sf):
     o = tables.table(spark, sf, "orders").select("o_orderpriority", "o_orderdate", "o_totalprice", "o_orderstatus")
     year = F.year("o_orderdate").cast("string")
     ref = F.when(F.col("o_orderstatus") == "P", F.concat(year, F.lit("-T1"))).otherwise(year)
-    agg = o.groupBy("o_orderpriority", ref.alias("ref")).agg(
-        F.avg("o_totalprice").alias("mean"), F.percentile("o_totalprice", 0.5).alias("median")
-    )
+    keys = ["o_orderpriority", "ref"]
+    facts = o.select("o_orderpriority", ref.alias("ref"), "o_totalprice")
+    medians = exact_quantiles(facts, "o_totalprice", [0.5], keys).select(*keys, F.col("value").alias("median"))
+    agg = facts.groupBy(*keys).agg(F.avg("o_totalprice").alias("mean")).join(medians, keys)
     packed = agg.groupBy("o_orderpriority").agg(F.collect_list(F.struct("ref", "mean", "median")).alias("r"))
     body = F.struct(
         F.transform("r", lambda x: F.col("o_orderpriority")).alias("Indicador"),
