@@ -8,8 +8,10 @@ its hash, with the first place in the corpus where it occurs.  Windows that occu
 their lines, which grows over neighbouring fingerprints into whole runs, is deleted.  Positions meet at their
 first occurrence and not in pairs, so a line in a third of all texts costs one row per occurrence.
 
-A text of fewer lines is one window, and a line of ``LONG_LINE`` or more words is one by itself, so that a long passage on
-one line is caught as well.  Places are ordered by (document id, line); the earliest one stays.
+A text of fewer lines is one window.  A run of fewer lines with ``LONG_LINE`` or more words is a window as well, if it
+has fewer without its first or its last line: these cover every repeated run of so many words, however it is cut into
+lines and however many lines its text has.  Shorter runs of one or two lines are compared only as whole texts.
+Places are ordered by (document id, line); the earliest one stays.
 
 Cases: null text has no lines; lines without a word are no part of a run and stay; rows that repeat (same id and
 text) are told apart by their place in the stored table, and the later is deleted; a null id comes last; an empty table gives an
@@ -49,23 +51,25 @@ def fingerprints(hashes: np.ndarray, n_words: np.ndarray, width: int = WIDTH, lo
     if not n:
         return []
     size = min(width, n)
-    spans = np.lib.stride_tricks.sliding_window_view(hashes, size)
-    least = spans.min(1)
-    # the last of equal minima
-    at = size - 1 - np.argmin(spans[:, ::-1], 1) + np.arange(len(spans))
-    acc = hashes[: n - size + 1].copy()
-    for j in range(1, size):
-        acc = acc * np.uint64(0xD6E8FEB86659FD93) + hashes[j : n - size + 1 + j]
-    own = w.mix(acc + np.uint64(size)).astype(np.int64)
     out: dict[int, dict] = {}
-    for start, (line, h) in enumerate(zip(at.tolist(), own.tolist())):
-        mark = out.setdefault(line, {"line": line, "finger": int(least[start].astype(np.int64)), "windows": []})
-        mark["windows"].append({"start": start, "n": size, "hash": h})
-    for line in np.flatnonzero(n_words >= long).tolist():
-        h = hashes[line : line + 1]
-        mark = out.setdefault(line, {"line": line, "finger": int(h.astype(np.int64)[0]), "windows": []})
-        if size > 1:
-            mark["windows"].append({"start": line, "n": 1, "hash": int(w.mix(h + np.uint64(1)).astype(np.int64)[0])})
+    words = np.concatenate([[0], np.cumsum(n_words)])
+    acc = np.zeros(n, np.uint64)
+    for k in range(1, size + 1):
+        starts = np.arange(n - k + 1)
+        acc = hashes[: n - k + 1].copy() if k == 1 else acc[: n - k + 1] * np.uint64(0xD6E8FEB86659FD93) + hashes[k - 1 :]
+        if k < size:
+            # enough words, but no longer so without the first line or without the last one
+            inner = np.minimum(words[k:] - words[1 : n - k + 2], words[k - 1 : n] - words[: n - k + 1])
+            starts = np.flatnonzero((words[k:] - words[: n - k + 1] >= long) & (inner < long))
+        if not len(starts):
+            continue
+        spans = np.lib.stride_tricks.sliding_window_view(hashes, k)[starts]
+        # the last of equal minima
+        at = k - 1 - np.argmin(spans[:, ::-1], 1) + starts
+        own = w.mix(acc[starts] + np.uint64(k)).astype(np.int64)
+        for start, line, h in zip(starts.tolist(), at.tolist(), own.tolist()):
+            mark = out.setdefault(line, {"line": line, "finger": int(hashes[line].astype(np.int64)), "windows": []})
+            mark["windows"].append({"start": start, "n": k, "hash": h})
     return list(out.values())
 
 
