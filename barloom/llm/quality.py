@@ -1,20 +1,19 @@
 """Quality rules by divergence from language references.
 
 Two histograms of a document, of character classes and of common words, are compared with those of its language
-by the Jensen-Shannon distance (base 2, so 0 to 1).  References are counts over all documents of a language; a
-language with less than ``SHARE`` of all words has no reference of its own and is compared with the pooled one,
-so there are at most 1/``SHARE`` references, each of ``COMMON`` words.  A histogram of few words is noise: the word
-distance counts only from ``LEAST_WORDS`` words on, the character distance from ``LEAST_CHARS`` characters on.
+by the Jensen-Shannon distance (base 2, so 0 to 1).  References are counts over all documents of a language, with its
+``COMMON`` most frequent words; every language has one, and the table of them is joined to the documents.  A histogram of
+few words is noise: the word distance counts only from ``LEAST_WORDS`` words on, the character distance from
+``LEAST_CHARS`` characters on.  A distance to a reference of fewer than ``REFERENCE_WORDS`` words or ``REFERENCE_CHARS``
+characters, or to the pooled one of a null language, is given but rejects nothing; the base rules alone decide there.
 
-Cases: null or empty text has no words and fails the base rule; a null language uses the pooled reference; equal
+Cases: null or empty text has no words and fails the base rule; a null language is measured by the pooled reference; equal
 counts of words are ordered by the word; with an empty table there is no reference and no row; rows that repeat count
 as often as they occur; other columns are kept by :func:`judged`.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,12 +23,16 @@ from barloom.llm import words as w
 from barloom.llm.types import DOUBLE, LONG, row
 from barloom.session import stored
 
+#: the share of all words from which a language is large; nothing is judged by it (tests name it)
 SHARE = 0.001
 COMMON = 60
 LEAST_WORDS = 50
 LEAST_CHARS = 200
 MOST_CHAR_DISTANCE = 0.32
 MOST_WORD_DISTANCE = 0.47
+#: the size that a reference must have to reject a document
+REFERENCE_WORDS = 2_000
+REFERENCE_CHARS = 10_000
 #: marks counted as symbols (fixed by the base rules)
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "letter", "digit", "blank", "sentence", "symbol", "other")
@@ -55,14 +58,6 @@ def _byte_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.array([np.bincount(data[a:b], minlength=256) for a, b in zip(at[:-1], at[1:])]).reshape(-1, 256)
 
 
-class References(NamedTuple):
-    """Histograms by language; the pooled one has the key None."""
-
-    chars: dict[str | None, np.ndarray]
-    words: dict[str | None, dict[str, int]]
-    total: dict[str | None, int]
-
-
 def _counted(batches):
     """Class counts and word counts of each batch and language: rows (lang, kind, item, n)."""
     for batch in batches:
@@ -86,18 +81,15 @@ def _counted(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "kind", "item", "n"])
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON, share: float = SHARE) -> References:
-    """References of all languages with at least ``share`` of the words, from all documents.
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> DataFrame:
+    """The references (lang, chars, words, counts, total) of all languages and of the whole (null), from all documents.
 
-    Counts are summed per word over the cluster; the driver gets the class counts and the ``common`` most frequent
-    words of at most 1/``share`` languages and of the whole.
+    Counts are summed per word over the cluster; ``words`` are the ``common`` most frequent ones, parted by blanks.
     """
     counts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_counted, "lang string, kind string, item string, n long")
     by_lang = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     by_lang = stored(by_lang, "quality-counts")
-    total = by_lang.where("kind = 'total'").agg(F.sum("n")).first()[0] or 0
-    large = by_lang.where("kind = 'total'").where((F.col("n") >= share * total) & F.col("lang").isNotNull()).select("lang", F.lit(True).alias("_own"))
-    own = by_lang.join(large, "lang").select("lang", "kind", "item", "n")
+    own = by_lang.where(F.col("lang").isNotNull())
     pooled = by_lang.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "item", "n")
     every = own.unionByName(pooled)
     part = F.pmod(F.xxhash64("item"), F.lit(64))
@@ -109,15 +101,11 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
         .where(F.col("_rank") <= common)
         .drop("_rank")
     )
-    made = References({}, {}, {})
-    for lang_, kind, item, n in top.unionByName(every.where("kind != 'words'")).collect():
-        if kind == "chars":
-            made.chars.setdefault(lang_, np.zeros(len(CLASSES)))[CLASSES.index(item)] = n
-        elif kind == "total":
-            made.total[lang_] = n
-        else:
-            made.words.setdefault(lang_, {})[item] = n
-    return made
+    number = lambda kind, item: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("item") == item), F.col("n"))), F.lit(0))
+    listed = F.array_sort(F.collect_list(F.when(F.col("kind") == "words", F.struct((-F.col("n")).alias("n"), "item"))))
+    made = top.unionByName(every.where("kind != 'words'")).groupBy("lang").agg(F.array(*[number("chars", c) for c in CLASSES]).alias("chars"), listed.alias("_w"), number("total", "").alias("total"))
+    made = made.select("lang", "chars", F.array_join("_w.item", " ").alias("words"), F.transform("_w.n", lambda n: -n).alias("counts"), "total")
+    return stored(made, "quality-references")
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -164,32 +152,43 @@ def _dup_lines(raw: bytes) -> int:
     return n
 
 
-def _features(refs: References):
-    names: list[str | None] = [None, *sorted(x for x in refs.chars if x is not None)]
-    index = {x: i for i, x in enumerate(names)}
-    char_refs = np.array([refs.chars.get(x, np.zeros(len(CLASSES))) for x in names])
-    listed = [sorted(refs.words.get(x, {}).items(), key=lambda y: (-y[1], y[0])) for x in names]
-    width = max([1, *map(len, listed)]) + 1
-    word_refs = np.zeros((len(names), width))
-    keys, places = [], []
-    for i, row in enumerate(listed):
-        word_refs[i, : len(row)] = [n for _, n in row]
-        word_refs[i, -1] = refs.total.get(names[i], 0) - word_refs[i].sum()
-        if row:
-            raw = [x.encode() for x, _ in row]
-            ends = np.cumsum([len(x) for x in raw])
-            h = w.word_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends)
+def _tables(refs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class counts and word counts (the last of them of all other words) by reference; sorted keys of (reference,
+    word) and the column of each."""
+    char_refs = np.array([x["chars"] for x in refs], float).reshape(-1, len(CLASSES))
+    width = max(len(x["counts"]) for x in refs) + 1
+    word_refs = np.zeros((len(refs), width))
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, x in enumerate(refs):
+        size = len(x["counts"])
+        word_refs[i, :size] = x["counts"]
+        word_refs[i, -1] = x["total"] - sum(x["counts"])
+        if size:
+            raw = np.frombuffer(x["words"].encode(), np.uint8)
+            starts, ends, _ = w.cut(raw, np.array([0, len(raw)]))
+            h = w.word_hashes(raw, starts, ends)
             keys.append(w.mix(h ^ w.mix(np.full(len(h), i + 1, np.uint64))))
-            places.append(np.arange(len(row)))
-    keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    places = np.concatenate(places) if places else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    keys, places = keys[order], places[order]
+            places.append(np.arange(size))
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.argsort(key)
+    return char_refs, word_refs, key[order], place[order]
+
 
+def _features(pooled: dict):
     @F.arrow_udf(RESULT_TYPE)
-    def features(texts: pa.Array, langs: pa.Array) -> pa.Array:
+    def features(texts: pa.Array, langs: pa.Array, refs: pa.Array) -> pa.Array:
         out: list[pa.Array] = []
-        lang = np.array([index.get(x, 0) for x in langs.to_pylist()], np.int64)
+        index: dict[str | None, int] = {None: 0}
+        held = [pooled]
+        lang = np.zeros(len(langs), np.int64)
+        for i, x in enumerate(langs.to_pylist()):
+            if x not in index:
+                own = refs[i].as_py()
+                index[x] = len(held) if own else 0
+                held += [own] if own else []
+            lang[i] = index[x]
+        char_refs, word_refs, keys, places = _tables(held)
+        width = word_refs.shape[1]
         for first, end, data, at in w.texts(texts):
             starts, ends, first_word = w.cut(data, at)
             hashes = w.word_hashes(data, starts, ends)
@@ -226,11 +225,19 @@ def _features(refs: References):
     return features
 
 
-def judged(docs: DataFrame, refs: References | None = None, text: str = "text", lang: str = "lang", result: str = "_quality") -> DataFrame:
+def judged(docs: DataFrame, refs: DataFrame | None = None, text: str = "text", lang: str = "lang", result: str = "_quality") -> DataFrame:
     """``docs`` with a struct ``result``: the base counts, both distances, ``base_failed`` and ``kept``."""
-    refs = refs or references(docs, text, lang)
+    refs = references(docs, text, lang) if refs is None else refs
     q = result
-    out = docs.withColumn(q, _features(refs)(F.col(text), F.col(lang).cast("string")))
+    columns = ["chars", "words", "counts", "total"]
+    pooled = refs.where("lang is null").select(*columns).first()
+    whole = pooled.asDict() if pooled else {"chars": [0] * len(CLASSES), "words": "", "counts": [], "total": 0}
+    own = refs.where("lang is not null").select(F.col("lang").alias("_ref_lang"), F.struct(*columns).alias("_ref"))
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != q]
+    out = docs.select(F.struct(*columns).alias("_all"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"))
+    out = out.join(own, F.col("_lang") == F.col("_ref_lang"), "left").withColumn(q, _features(whole)("_text", "_lang", "_ref"))
     failed = (F.col(f"{q}.n_words") < 20) | (100 * F.col(f"{q}.n_repeat_words") > 30 * F.col(f"{q}.n_words"))
-    near = (F.col(f"{q}.char_distance") <= MOST_CHAR_DISTANCE) & (F.col(f"{q}.word_distance") <= MOST_WORD_DISTANCE)
-    return out.withColumn(q, F.col(q).withField("base_failed", failed).withField("kept", ~failed & near))
+    few_chars = F.coalesce(F.aggregate("_ref.chars", F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0)) < REFERENCE_CHARS
+    few_words = F.coalesce("_ref.total", F.lit(0)) < REFERENCE_WORDS
+    near = (few_chars | (F.col(f"{q}.char_distance") <= MOST_CHAR_DISTANCE)) & (few_words | (F.col(f"{q}.word_distance") <= MOST_WORD_DISTANCE))
+    return out.select("_all.*", F.col(q).withField("base_failed", failed).withField("kept", ~failed & near).alias(q))

@@ -3,7 +3,7 @@
 import random
 import re
 
-from barloom.llm import line_dedup
+from barloom.llm import line_dedup, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,3 +41,20 @@ def test_line_dedup_finds_passages_by_words(spark):
     found = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "_lines.n_removed").collect()
     assert dict(found)[2] == 2 and dict(found)[3] == 2 and dict(found)[4] == 2 and dict(found)[7] == 0
     assert sorted((r[0], r[1]) for r in found) == repeated_lines(rows)
+
+
+def test_quality_keeps_clean_texts_of_rare_and_null_languages(spark):
+    rng = random.Random(4)
+
+    def say(letters, n):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(400)]
+        return " ".join(rng.choice(words[:20] if rng.random() < 0.4 else words) for _ in range(n))
+
+    latin, cyrillic, greek = "abcdefghijklm", "абвгдежзиклмн", "αβγδεζηθικλμν"
+    rows = [(i, say(latin, 4000), "en") for i in range(1000)]
+    rows += [(2000 + i, say(cyrillic, 150), "ru") for i in range(20)] + [(3000, say(greek, 150), "el"), (3001, say(cyrillic, 150), None)]
+    rows += [(3002, "#*$% 0123 " * 3 + " ".join(f"#{rng.randrange(10**6)}" for _ in range(80)), "ru"), (3003, "слово " * 10, "ru"), (3004, "λέξη", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = {r[0]: r[1] for r in quality.judged(docs).where("doc_id >= 2000").select("doc_id", "_quality.kept").collect()}
+    assert all(kept[2000 + i] for i in range(20)) and kept[3000] and kept[3001]
+    assert not kept[3002] and not kept[3003] and not kept[3004]
