@@ -5,7 +5,9 @@ tag or name says that they are no article (menus, headers, footers, sidebars, no
 scripts and styles) are left out.  For every path the length of its text and its punctuation are added up; the two
 ratios per block are fused into one score, which is smoothed over neighbouring blocks of the same container.  Paths
 whose smoothed score reaches a share of the page's mean (weighted by text) hold the content.  A path counts as a
-whole, so that a short paragraph stays with its longer siblings; link text counts against a path.
+whole, so that a short paragraph stays with its longer siblings; link text counts against a path.  The paths only
+find the place of the content: all blocks of an ``article`` or ``main``, or else of the deepest container of most of the
+content, are kept, short lists, tables and lists of links too, and so are unlinked blocks between blocks of content.
 
 Cases: null or empty pages, and pages without content, have an empty text; tags that are never closed or cut off at
 the end are closed where HTML closes them; very long pages are worked through in one pass; rows that repeat give
@@ -48,6 +50,8 @@ _NO_ROLE = frozenset("navigation banner contentinfo complementary search form al
 _MARKS = re.compile(r"[.,;:!?。、，；：！？…]")
 #: share of the page's mean score that a path must reach
 THRESHOLD = 0.08
+#: share of the text of such paths that the content container must hold
+SHARE = 0.8
 #: weights of a block and its two neighbours on each side
 KERNEL = (0.1, 0.25, 1.0, 0.25, 0.1)
 
@@ -191,14 +195,25 @@ def chosen(found: list[Block]) -> list[Block]:
         best[b.path] = max(best.get(b.path, 0.0), total / weight)
     mean = sum(best[p] * length[p] for p in best) / max(1, sum(length.values()))
     keep = {p for p, s in best.items() if s >= THRESHOLD * mean and linked[p] <= 0.7 * length[p]}
-    return [b for b in found if b.path in keep]
+    # the deepest container of most of that text: all of it is content, be it as short or as linked as it may
+    held: dict[str, int] = {}
+    for p in keep:
+        steps = p.split("/")[:-1]
+        for k in range(1, len(steps) + 1):
+            held["/".join(steps[:k])] = held.get("/".join(steps[:k]), 0) + length[p]
+    most = [c for c, n in held.items() if n >= SHARE * sum(length[p] for p in keep) and not re.match(r"(?:html|body)\b", c.rsplit("/", 1)[-1])]
+    main = max(most, key=lambda c: c.count("/"), default=None)
+    inside = [main is not None and b.path.startswith(main + "/") for b in found]
+    places = [i for i, b in enumerate(found) if inside[i] or b.path in keep and main is None]
+    span = range(places[0], places[-1] + 1) if places else range(0)
+    return [b for i, b in enumerate(found) if b.path in keep or inside[i] or i in span and linked[b.path] <= 0.7 * length[b.path]]
 
 
 def main_text(page: str | None) -> str:
     """The text of the content blocks in page order, joined by blanks."""
     found = list(blocks(page or ""))
     article = [b for b in found if re.search(r"(?:^|/)(?:article|main)(?:[./]|$)", b.path)]
-    return " ".join(b.text for b in chosen(article or found))
+    return " ".join(b.text for b in article or chosen(found))
 
 
 @F.arrow_udf(STRING)

@@ -3,7 +3,9 @@
 import random
 import re
 
-from barloom.llm import line_dedup, quality
+import pytest
+
+from barloom.llm import html_paths, line_dedup, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,3 +60,24 @@ def test_quality_keeps_clean_texts_of_rare_and_null_languages(spark):
     kept = {r[0]: r[1] for r in quality.judged(docs).where("doc_id >= 2000").select("doc_id", "_quality.kept").collect()}
     assert all(kept[2000 + i] for i in range(20)) and kept[3000] and kept[3001]
     assert not kept[3002] and not kept[3003] and not kept[3004]
+
+
+LONG = "Clause after clause, the paragraph goes on; it has marks, many words, and ends late. " * 7
+BODY = [
+    ("header", "<h1>{}</h1>", "Title"),
+    ("p", "<p>{}</p>", LONG.strip()),
+    ("ul", "<ul><li>{}</li></ul>", "short item"),
+    ("links", "<ul class='refs'><li><a href='/x'>{}</a></li></ul>", "linked item"),
+    ("table", "<table><tr><td>{}</td></tr></table>", "cell"),
+    ("p2", "<p>{}</p>", LONG.strip() + " More."),
+    ("dl", "<dl><dt>term</dt><dd>{}</dd></dl>", "meaning"),
+    ("quote", "<blockquote>{}</blockquote>", "Said so"),
+    ("figure", "<figure><figcaption>{}</figcaption></figure>", "a caption"),
+]
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div class='story'"])
+def test_main_text_keeps_short_blocks_beside_long_paragraphs(tag):
+    inner = "".join(form.format(text) for _, form, text in BODY)
+    page = f"<html><body><nav><a href='/'>Home</a></nav><div class='x'><{tag}>{inner}</{tag.split()[0]}></div><div class='y'><a href='/o'>Other</a></div></body></html>"
+    assert html_paths.main_text(page) == " ".join(("term " if name == "dl" else "") + text for name, _, text in BODY)
