@@ -46,10 +46,15 @@ _NO_NAME = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations trending toolbar skip search form".split()
 )
+#: words that a name of such a part may have besides
+_NEUTRAL = frozenset("site global button buttons icon icons text trail column col outer group row panel module unit slot zone left right top bottom list box block wrapper wrap container inner area links link bar section primary secondary main posts post articles items item".split())
+_TALK = frozenset("comment comments commentlist respond disqus reply replies discussion".split())
 _NO_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _MARKS = re.compile(r"[.,;:!?。、，；：！？…]")
 #: share of the page's mean score that a path must reach
 THRESHOLD = 0.08
+#: share of the scored text below which an article or main element is not the article
+TEASER = 0.3
 #: share of the text of such paths that the content container must hold
 SHARE = 0.8
 #: weights of a block and its two neighbours on each side
@@ -62,6 +67,8 @@ class Block(NamedTuple):
     text: str
     links: int
     heading: bool
+    #: elements around it that are no article by their name
+    named: tuple[int, ...]
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -71,19 +78,29 @@ def _attributes(raw: str) -> dict[str, str]:
 def _is_boilerplate(tag: str, attributes: dict[str, str], raw: str, inside_article: bool) -> bool:
     if tag in _NO_CONTENT or tag == "header" and not inside_article:
         return True
-    if attributes.get("role", "").lower() in _NO_ROLE or attributes.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|$|=)", raw):
+    if attributes.get("role", "").lower() in _NO_ROLE or attributes.get("aria-hidden") == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
+    if "hidden" in raw.lower() and re.search(r"(?:^|\s)hidden(?=[\s=/]|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", "=", raw), re.I):
         return True
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
+
+
+def _named(tag: str, attributes: dict[str, str], inside_article: bool) -> str:
+    """The class or id name that says that an element is no article: all its words do, besides neutral ones."""
     if tag in ("html", "body", "article", "main"):
-        return False
-    names = {x.lower() for k in ("class", "id") for x in _NAME.findall(attributes.get(k, ""))}
-    return bool(names & _NO_NAME)
+        return ""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = {x.lower() for x in _NAME.findall(name)}
+        own = words & _NO_NAME
+        if own and words <= _NO_NAME | _NEUTRAL and not (own <= {"header", "masthead", "footer", "form", "side"} and (inside_article or words & {"post", "main", "section"})):
+            return name.lower()
+    return ""
 
 
 def blocks(page: str) -> Iterator[Block]:
-    """The blocks of a page outside its boilerplate, in order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, step of the path, boilerplate here
+    """The blocks of a page outside its boilerplate, in order; those in parts named as boilerplate say so."""
+    stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, boilerplate here, number if so by name
+    n_named = 0
     parts: list[str] = []
     links = at = 0
     in_link = False
@@ -93,8 +110,8 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal parts, links
         text = " ".join("".join(parts).split())
         if text and not outside:
-            steps = [s for _, s, _ in stack]
-            yield Block("/".join(steps), "/".join(steps[:-1]), text, min(links, len(text)), any(t in _HEADINGS for t, _, _ in stack))
+            steps = [s for _, s, _, _ in stack]
+            yield Block("/".join(steps), "/".join(steps[:-1]), text, min(links, len(text)), any(t in _HEADINGS for t, *_ in stack), tuple(x for *_, x in stack if x))
         parts, links = [], 0
 
     def pop() -> None:
@@ -121,7 +138,7 @@ def blocks(page: str) -> Iterator[Block]:
                 in_link = False
             if tag in _INLINE:
                 continue
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 yield from flush()
                 while stack:
                     last = stack[-1][0]
@@ -164,9 +181,13 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         attributes = _attributes(m[3])
         step = tag + "".join(f".{x}" for k in ("class", "id") for x in attributes.get(k, "").lower().split())
-        inside = any(t in ("article", "main") for t, _, _ in stack)
+        inside = any(t in ("article", "main") for t, *_ in stack)
         drop = _is_boilerplate(tag, attributes, m[3], inside)
-        stack.append((tag, re.sub(r"\d+", "0", step).replace("/", "_"), drop))
+        name = _named(tag, attributes, inside)
+        if name:
+            n_named += 2
+        number = n_named + (not set(_NAME.findall(name)) & _TALK) if name else 0  # even for readers' talk
+        stack.append((tag, re.sub(r"\d+", "0", step).replace("/", "_"), drop, number))
         outside += drop
     yield from flush()
 
@@ -209,11 +230,37 @@ def chosen(found: list[Block]) -> list[Block]:
     return [b for i, b in enumerate(found) if b.path in keep or inside[i] or i in span and linked[b.path] <= 0.7 * length[b.path]]
 
 
+def _in_article(b: Block) -> bool:
+    return bool(re.search(r"(?:^|/)(?:article|main)(?:[./]|$)", b.path))
+
+
+def unnamed(found: list[Block]) -> list[Block]:
+    """The blocks outside parts named as boilerplate; a name alone drops no part with the only ``article`` or ``main``,
+    or with most of the punctuated text of a page without one (of readers' talk: nearly all)."""
+    free = [b for b in found if not b.named]
+    if len(free) == len(found) or any(_in_article(b) for b in free):
+        return free
+    of: dict[int, int] = {}
+    weight = [len(b.text) - b.links if _MARKS.search(b.text) else 0 for b in found]
+    for b, n in zip(found, weight):
+        for x in b.named:
+            of[x] = of.get(x, 0) + n
+    kept = {x for x, n in of.items() if n > (0.9 if x % 2 == 0 else 0.5) * sum(weight)}
+    kept |= {x for b in found if _in_article(b) for x in b.named if x % 2}
+    return [b for b in found if kept.issuperset(b.named)]
+
+
 def main_text(page: str | None) -> str:
     """The text of the content blocks in page order, joined by blanks."""
-    found = list(blocks(page or ""))
-    article = [b for b in found if re.search(r"(?:^|/)(?:article|main)(?:[./]|$)", b.path)]
-    return " ".join(b.text for b in article or chosen(found))
+    found = unnamed(list(blocks(page or "")))
+    article = [b for b in found if _in_article(b)]
+    size = lambda part: sum(len(b.text) for b in part)
+    if len(article) < len(found):
+        # a teaser is not the article
+        scored = chosen(found)
+        if size(article) < TEASER * size(scored):
+            article = scored
+    return " ".join(b.text for b in article)
 
 
 @F.arrow_udf(STRING)

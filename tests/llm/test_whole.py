@@ -81,3 +81,23 @@ def test_main_text_keeps_short_blocks_beside_long_paragraphs(tag):
     inner = "".join(form.format(text) for _, form, text in BODY)
     page = f"<html><body><nav><a href='/'>Home</a></nav><div class='x'><{tag}>{inner}</{tag.split()[0]}></div><div class='y'><a href='/o'>Other</a></div></body></html>"
     assert html_paths.main_text(page) == " ".join(("term " if name == "dl" else "") + text for name, _, text in BODY)
+
+
+SIDE = "<div class='sidebar'><p>Side text, with marks, that is here.</p></div><div class='site-footer'><p>All rights, reserved.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "around", ["class='content with-sidebar'", "class='layout-no-sidebar'", "class='post comments-open'", "class='has-banner'", "id='form-page'", "title='the hidden valley'", "class='widget'", "data-x=hidden"]
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_main_text_is_not_lost_by_a_name(around, tag):
+    page = f"<body title='a hidden one'><div {around}><{tag}><div class='article-header'><h1>Title</h1></div><p>{LONG}</p><p>End, it is.</p></{tag}></div>{SIDE}</body>"
+    assert html_paths.main_text(page) == f"Title {LONG.strip()} End, it is."
+
+
+def test_main_text_beside_a_teaser_and_hidden_parts():
+    page = f"<body><article class='teaser'><p>Read this, too.</p></article><div class='story'><p>{LONG}</p><p hidden>No, never.</p><p>{LONG}</p></div>{SIDE}</body>"
+    text = html_paths.main_text(page)
+    assert text.count(LONG.strip()) == 2 and "never" not in text and "Side" not in text and "rights" not in text
+    talk = "<section class='comments'><p>" + LONG * 5 + "</p></section>"
+    assert html_paths.main_text(f"<body><article><p>{LONG}</p></article>{talk}</body>") == LONG.strip()
