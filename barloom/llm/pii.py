@@ -5,7 +5,8 @@ type and its canonical form, so an entity gets the same one wherever it is named
 entity's type and format: digits for digits, letters of the same script and case for letters, separators as they were;
 payment numbers stay valid if they were; names get names of the gender that their title tells.  The distinct
 entities of the whole corpus are one table; two entities with one surrogate, or a surrogate that is itself an
-entity, are tried again until all differ.
+entity, are tried again until all differ.  From the fourth failure on, names get a syllable and phone and social numbers
+a digit more at each attempt, mailboxes a suffix, and addresses a larger range, so the loop ends however many there are.
 
 All plans are DataFrame functions.  The table of entities is stored, and each attempt is a step over it.
 
@@ -108,6 +109,8 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     hexes = F.concat(F.sha2(seed.cast("binary"), 512), F.sha2(F.concat(F.lit("2|"), seed).cast("binary"), 256), F.sha2(F.concat(F.lit("3|"), seed).cast("binary"), 256))
     chars = F.regexp_extract_all(form, F.lit("(?s)."), F.lit(0))
     script = script_of(form)
+    # after failed attempts the kinds with few surrogates get longer ones, so that there are always free ones
+    more = F.greatest(attempt - 3, F.lit(0))
 
     def letter(i: Column) -> Column:
         out = None
@@ -116,14 +119,15 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
             out = one if out is None else F.when(script == name, one).otherwise(out)
         return out
 
-    # names: letters in turn, as long as the name (at least four), with an ending of the gender
-    length = F.greatest(F.length(form), F.lit(4))
+    # names: letters in turn, as long as the name (at least four), with an ending of the gender; a syllable more each
+    length = F.greatest(F.length(form), F.lit(4)) + 2 * more
     core = F.array_join(F.transform(F.sequence(F.lit(0), length - 2), lambda i: letter(i)), "")
     ending = F.when(kind == "female", F.when(script == "latin", F.lit("a")).when(script == "cyrillic", F.lit("а")).otherwise(F.lit("α"))).otherwise(
         F.when(script == "latin", _pick("nrsl", _byte(hexes, length))).when(script == "cyrillic", _pick("нрсл", _byte(hexes, length))).otherwise(_pick("ςνρς", _byte(hexes, length)))
     )
     name = F.concat(core, ending)
     digit = lambda i: F.pmod(_byte(hexes, i), F.lit(10))
+    added = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: digit(F.size(chars) + i).cast("string")), "")).otherwise(F.lit(""))
     # phone: the first digit (the country or the area's first) stays
     number = F.array_join(F.transform(chars, lambda c, i: F.when(i == 0, c).when(i < 3, (F.pmod(_byte(hexes, i), F.lit(8)) + 2).cast("string")).otherwise(digit(i).cast("string"))), "")
     social = F.array_join(F.transform(chars, lambda c, i: F.when(i == 0, F.lit("9")).otherwise(digit(i).cast("string"))), "")
@@ -135,6 +139,10 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     iban = F.array_join(F.transform(chars, lambda c, i: F.when(i < 2, c).when(c.rlike("[0-9]"), digit(i).cast("string")).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", _byte(hexes, i)))), "")
     octet = lambda i, base: (F.pmod(_byte(hexes, F.lit(i)), F.lit(254 - base)) + base).cast("string")
     ip = F.concat_ws(".", F.lit("10"), octet(1, 0), octet(2, 0), octet(3, 1))
+    # then reserved addresses, then numbers that are none
+    reserved = F.concat_ws(".", (F.pmod(_byte(hexes, F.lit(0)), F.lit(16)) + 240).cast("string"), octet(1, 0), octet(2, 0), octet(3, 1))
+    beyond = F.concat_ws(".", *[(F.pmod(_byte(hexes, F.lit(i)), F.lit(744)) + 256).cast("string") for i in range(4)])
+    ip = F.when(attempt > 6, beyond).when(attempt > 3, reserved).otherwise(ip)
     local = F.split_part(form, F.lit("@"), F.lit(1))
     mailbox = F.array_join(
         F.transform(F.regexp_extract_all(local, F.lit("(?s)."), F.lit(0)), lambda c, i: F.when(c.rlike("[0-9]"), digit(i).cast("string")).when(c.rlike("[a-z]"), letter(i)).otherwise(c)), ""
@@ -145,8 +153,8 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     return (
         F.when(kind == "email", email)
         .when(kind.isin("male", "female", "surname"), name)
-        .when(kind == "phone", number)
-        .when(kind == "social", social)
+        .when(kind == "phone", F.concat(number, added))
+        .when(kind == "social", F.concat(social, added))
         .when(kind == "iban", iban)
         .when(kind == "ip", ip)
         .otherwise(card)
@@ -157,14 +165,16 @@ def dressed(raw: Column, kind: Column, form: Column) -> Column:
     """The canonical surrogate ``form`` in the notation of ``raw``."""
     # separators of the raw text stay where they are; digits and letters are taken in turn
     chars = F.regexp_extract_all(raw, F.lit("(?s)."), F.lit(0))
-    filled = F.aggregate(
+    taken = F.aggregate(
         chars,
         F.struct(F.lit(1).alias("i"), F.lit("").alias("out")),
         lambda acc, c: F.struct(
             F.when(c.rlike("[0-9A-Za-z]"), acc["i"] + 1).otherwise(acc["i"]).alias("i"),
             F.concat(acc["out"], F.when(c.rlike("[0-9A-Za-z]"), F.substr(form, acc["i"], F.lit(1))).otherwise(c)).alias("out"),
         ),
-    )["out"]
+    )
+    # what a longer surrogate has besides comes last
+    filled = F.concat(taken["out"], F.substr(form, taken["i"]))
     upper = (raw == F.upper(raw)) & (F.length(raw) > 1)
     named = F.when(upper, F.upper(form)).otherwise(F.initcap(form))
     return F.when(kind.isin("phone", "card", "social", "iban"), filled).when(kind.isin("male", "female", "surname"), named).when((kind == "email") & upper, F.upper(form)).otherwise(form)

@@ -1,11 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import itertools
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from barloom.llm import html_paths, line_dedup, quality
+from barloom.llm import html_paths, line_dedup, pii, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,3 +103,29 @@ def test_main_text_beside_a_teaser_and_hidden_parts():
     assert text.count(LONG.strip()) == 2 and "never" not in text and "Side" not in text and "rights" not in text
     talk = "<section class='comments'><p>" + LONG * 5 + "</p></section>"
     assert html_paths.main_text(f"<body><article><p>{LONG}</p></article>{talk}</body>") == LONG.strip()
+
+
+def test_more_entities_than_short_surrogates(spark, monkeypatch):
+    made, calls = pii.surrogate, []
+
+    def counted(*args):
+        calls.append(1)
+        assert len(calls) <= 12, "no end of attempts"
+        return made(*args)
+
+    monkeypatch.setattr(pii, "surrogate", counted)
+    names = ["".join(x) for x in itertools.product("abdehikmnorst", repeat=4)]
+    forms = [("female", x) for x in names[::20]] + [("surname", x) for x in names[::5]] + [("phone", f"1{i:04d}") for i in range(10_000)]
+    rows = pii.entities(spark.createDataFrame(forms, "kind string, form string"), "k").collect()
+    found = {(r["kind"], r["surrogate"]) for r in rows}
+    assert len(rows) == len(found) == len(forms) and not found & set(forms)
+    assert all(r["surrogate"][0] == "1" and r["surrogate"].isdigit() for r in rows if r["kind"] == "phone")
+
+
+def test_longer_and_wider_surrogates(spark):
+    tries = spark.createDataFrame([(kind, form, a) for kind, form in [("ip", "8.8.8.8"), ("social", "123456789"), ("male", "bo")] for a in (0, 5, 9)], "kind string, form string, a int")
+    got = {(r[0], r[1]): r[2] for r in tries.select("kind", "a", pii.surrogate(F.col("kind"), F.col("form"), F.col("a"), "k")).collect()}
+    assert got["ip", 0].startswith("10.") and 240 <= int(got["ip", 5].split(".")[0]) <= 255 and all(256 <= int(x) <= 999 for x in got["ip", 9].split("."))
+    assert [len(got["social", a]) for a in (0, 5, 9)] == [9, 11, 15] and [len(got["male", a]) for a in (0, 5, 9)] == [4, 8, 16]
+    row = spark.range(1).select(pii.dressed(F.lit("+1 22-33"), F.lit("phone"), F.lit("1456789")), pii.dressed(F.lit("+1 22-33"), F.lit("phone"), F.lit("14567"))).first()
+    assert list(row) == ["+1 45-6789", "+1 45-67"]
