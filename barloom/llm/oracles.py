@@ -33,4 +33,26 @@ n AS (SELECT d.*, row_number() OVER (PARTITION BY src ORDER BY len(CAST(size AS
 SELECT doc_id, size, source_size, target, size * ((shift + i * rate) // 100000000 - (shift + (i - 1) * rate) // 100000000) AS taken FROM n JOIN p USING (src)
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op3_mix_sources": OP3}
+OP13 = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS MATERIALIZED (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+x(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || d.letter || e.letter || g.letter AS filter_order, [a.bit, b.bit, d.bit, e.bit, g.bit] AS bits FROM x a, x b, x d, x e, x g WHERE a.bit + b.bit + d.bit + e.bit + g.bit = 31 AND a.bit | b.bit | d.bit | e.bit | g.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS own, CAST(list_sum(bits[1:step]) AS BIGINT) - bits[step] AS before FROM o, (SELECT unnest(range(1, 6)) AS step))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN mask & own > 0 THEN n * (120 // bit_count(mask)) ELSE 0 END) AS BIGINT) AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""
+
+ORACLES: dict[str, str] = {"op2_decontaminate": OP2, "op3_mix_sources": OP3, "op13_filter_audit": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bwt_dedup, decontaminate, html_paths, line_dedup, mixing, near_dedup, pii, quality, secrets, sharding
+from barloom.llm import bwt_dedup, decontaminate, filter_audit, html_paths, line_dedup, lz_prints, mixing, near_dedup, pii, quality, secrets, sharding
 from barloom.llm.oracles import ORACLES
 from barloom.session import stored
 
@@ -62,7 +62,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,15 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op12_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_prints.prints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.counters(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+    return filter_audit.audit(counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,5 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_minhash_join,
         op10_pii_surrogates,
+        op12_lz_fingerprint,
+        op13_filter_audit,
     )
 }
