@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bwt_dedup, decontaminate, filter_audit, html_paths, line_dedup, lz_prints, mixing, near_dedup, pii, quality, secrets, sharding
+from barloom.llm import bwt_dedup, decontaminate, filter_audit, html_paths, line_dedup, lz_prints, mixing, near_dedup, pii, quality, secrets, sharding, token_alignment
 from barloom.llm.oracles import ORACLES
 from barloom.session import stored
 
@@ -86,6 +86,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(_table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_prints.prints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_minhash_join,
         op10_pii_surrogates,
+        op11_align_tokens,
         op12_lz_fingerprint,
         op13_filter_audit,
     )
