@@ -269,12 +269,12 @@ def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", file_a
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     schema = "block long, rows array<struct<key long, n_a long, n_b long, n_groups long, groups_sha256 string, n_pairs long>>, own array<int>, times array<int>, pairs array<long>, counts array<long>"
     blocks = stored(rows.mapInArrow(_blocks(files, pa.int64()), schema), "alignment-blocks")
-    in_block = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts"))).select("block", F.col("pos").alias("place"), F.col("col.pairs").alias("pair"), F.col("col.counts").alias("n"))
+    in_block = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts"))).select(F.col("block").alias("home"), F.col("pos").alias("place"), F.col("col.pairs").alias("pair"), F.col("col.counts").alias("n"))
     counts = stored(in_block.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair") % n_b), "alignment-counts")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
     judged = counts.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    known = in_block.select("block", "place", "pair").join(judged, "pair").select("block", "place", "count", "best")
-    work = blocks.select("block", "rows", "own", "times").groupBy("block").cogroup(known.groupBy("block"))
+    known = in_block.select("home", "place", "pair").join(judged, "pair").select("home", "place", "count", "best")
+    work = blocks.select("block", "rows", "own", "times").groupBy("block").cogroup(known.groupBy("home"))
     return work.applyInArrow(_summed, f"key long, {RESULT}").withColumnRenamed("key", key)
 
 
