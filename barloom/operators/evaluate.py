@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,71 +204,84 @@ def search_thresholds(df: DataFrame, keys: list[str]) -> DataFrame:
 B_LO, B_HI, B_STEPS, B_INNER = 0.001, 0.050, 1000, 100
 
 
-def search_thresholds_fine(df: DataFrame) -> DataFrame:
-    """Best of 1000 x 100 threshold pairs by weighted F1 (rule B) over one prediction set.
-
-    The first threshold has 1000 even steps; the second runs in 100 even steps from just
-    above the first to the upper end, so each first step i has its own grid.  Probabilities
-    outside the range of all second thresholds are lumped, rows are counted by (class,
-    step passed by p0, p2), the counts are placed on every i's grid, and running sums
-    over the 101 places give the confusion cells of all pairs.
+def _thresholds_b(steps: int, inner: int) -> tuple[list[float], list[list[float]]]:
+    """The first thresholds, and for each the second ones: even steps from just above it to the upper end."""
+    width = (B_HI - B_LO) / (steps - 1)
+    first = [B_LO + i * width for i in range(steps)]
+    second = []
+    for t in first:
+        start = t + 0.001
+        step = (B_HI - start) / (inner - 1)
+        second.append([start + k * step for k in range(inner)])
+    return first, second
+
+
+def _passed(df: DataFrame, p: str, thresholds: list[float], out: str) -> DataFrame:
+    """How many of the ascending ``thresholds`` a probability is above, by bisection in a JVM bucketizer; a null passes
+    none.  Buckets are closed below, so negated values are counted from above."""
+    splits = [-float("inf"), *[-t for t in reversed(thresholds)], float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_bucket")
+    # -p lies in bucket k where k thresholds are at or above p
+    above = F.lit(len(thresholds)) - F.col("_bucket").cast("int")
+    return cut.transform(df.withColumn("_x", -F.coalesce(p, F.lit(-1.0)))).withColumn(out, above).drop("_x", "_bucket")
+
+
+def search_thresholds_fine(df: DataFrame, steps: int = B_STEPS, inner: int = B_INNER) -> DataFrame:
+    """Best of ``steps`` x ``inner`` threshold pairs by weighted F1 (rule B) over one prediction set.
+
+    Each first threshold i has its own second ones.  The rows become one histogram: (steps passed by p0, place of p2 in the
+    sorted union of all second thresholds, class).  A pair then asks how many rows have p0 above i and p2 up to its own
+    threshold.  Rows with p0 above i are the disjoint union of dyadic ranges of the p0 axis, at most log2(steps) of them;
+    each range holds running sums along the p2 axis, where the pair looks its count up.  After the histogram no table
+    depends on the number of rows: at most ``steps`` * ``inner`` + 1 places a class and range, ``steps`` * ``inner`` *
+    log2(steps) lookups, and no task has more than one range.
     """
-    width = (B_HI - B_LO) / (B_STEPS - 1)
-    t1 = B_LO + F.col("i") * width
-    start = t1 + 0.001
-    step = (B_HI - start) / (B_INNER - 1)
-    # thresholds of one i in ascending order: from low on by gap (the last i run downwards)
-    low, gap = F.least(start, F.lit(B_HI)), F.abs(step)
-    p2 = F.when(F.col("p2") > B_HI + 0.0011, 1.0).when(F.col("p2") <= B_LO + 0.001, 0.0).otherwise(F.col("p2"))
-    passed = F.when(F.col("p0") <= B_LO, 0).when(F.col("p0") > B_HI + width, B_STEPS).otherwise(
-        F.ceil((F.col("p0") - B_LO) / width)
-    )
-    # ceil may be off by one at a step; the exact comparison decides
-    below = lambda n: B_LO + n * width < F.col("p0")
-    passed = F.when(below(passed) & (passed < B_STEPS), passed + 1).when(
-        (passed > 0) & ~below(passed - 1), passed - 1
-    ).otherwise(passed)
-    counts = df.groupBy("real", passed.cast("int").alias("b0"), p2.alias("p2")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(B_STEPS - 1))))
-    rows = rows.withColumns({"_low": low, "_gap": gap, "is_low": F.col("b0") > F.col("i")})
-    guess = F.ceil((F.col("p2") - F.col("_low")) / F.greatest(F.col("_gap"), F.lit(1e-15)))
-    rows = rows.withColumn("_g", F.least(F.lit(B_INNER), F.greatest(F.lit(0), guess)).cast("int"))
-    under = lambda n: F.col("_low") + n * F.col("_gap") < F.col("p2")
-    place = (
-        F.when((F.col("_g") < B_INNER) & under(F.col("_g")), F.col("_g") + 1)
-        .when((F.col("_g") > 0) & ~under(F.col("_g") - 1), F.col("_g") - 1)
-        .otherwise(F.col("_g"))
+    first, second = _thresholds_b(steps, inner)
+    union = sorted({t for row in second for t in row})
+    at = {t: j for j, t in enumerate(union)}
+    placed = _passed(_passed(df.select("real", "p0", "p2"), "p0", first, "b"), "p2", union, "place")
+    cells = placed.groupBy("b", "place").agg(*[F.count(F.when(F.col("real") == r, 1)).alias(f"c{r}") for r in range(K)])
+    levels = range(max(1, steps.bit_length()))
+    counts = [f"c{r}" for r in range(K)]
+
+    def dyadic(rows: DataFrame, range_of) -> DataFrame:
+        """Each row once per level on which ``range_of`` gives it a range."""
+        found = F.filter(F.array(*[range_of(level) for level in levels]), lambda x: x["node"].isNotNull())
+        return rows.withColumn("_at", F.explode(found)).select("*", "_at.level", "_at.node").drop("_at")
+
+    def node(level: int, of: Column, used: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.when(used, of).alias("node"))
+
+    # a value lies in one range a level; only ranges with an odd number are ever asked for
+    holds = lambda level: node(level, F.shiftright("b", level), F.shiftright("b", level) % 2 == 1)
+    held = dyadic(cells, holds).groupBy("level", "node", "place").agg(*[F.sum(n).alias(n) for n in counts])
+    everything = cells.groupBy(F.lit(-1).alias("level"), F.lit(0).alias("node"), "place").agg(*[F.sum(n).alias(n) for n in counts])
+    # the pairs, from the first threshold's number; places are constants
+    pairs = df.sparkSession.createDataFrame([(i, [at[t] for t in row]) for i, row in enumerate(second)], "i int, places array<int>")
+    pairs = pairs.select("i", F.posexplode("places").alias("k", "place"))
+    up = lambda level: F.shiftright(F.col("i") + F.lit(1 << level), level)  # noqa: E731  the least range at i + 1 or above
+    asks = lambda level: node(level, up(level), (up(level) % 2 == 1) & (F.shiftleft(up(level), level) <= steps))
+    lookups = dyadic(pairs, asks).unionByName(pairs.select("*", F.lit(-1).alias("level"), F.lit(0).alias("node")))
+    none = [F.lit(None).cast("long").alias(n) for n in counts]
+    both = held.unionByName(everything).select("level", "node", "place", *counts, F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("k"))
+    both = both.unionByName(lookups.select("level", "node", "place", *none, "i", "k"))
+    whole = Window.partitionBy("level", "node")
+    upto = whole.orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = both.withColumns({f"u{r}": F.coalesce(F.sum(f"c{r}").over(upto), F.lit(0)) for r in range(K)} | {f"t{r}": F.coalesce(F.sum(f"c{r}").over(whole), F.lit(0)) for r in range(K)})
+    of = lambda x, which: F.sum(F.when(which, F.col(x)).otherwise(0))
+    all_rows = F.col("level") == -1
+    found = sums.where("i IS NOT NULL").groupBy("i", "k").agg(
+        *[of(f"u{r}", ~all_rows).alias(f"n{r}0") for r in range(K)],
+        *[(of(f"u{r}", all_rows) - of(f"u{r}", ~all_rows)).alias(f"n{r}1") for r in range(K)],
+        *[(of(f"t{r}", all_rows) - of(f"u{r}", all_rows)).alias(f"n{r}2") for r in range(K)],
     )
-    cell = lambda r, low_: F.sum(F.when((F.col("real") == r) & (F.col("is_low") == low_), F.col("n")).otherwise(0))
-    names = [f"c{r}{int(b)}" for r in range(K) for b in (False, True)]
-    placed = rows.groupBy("i", place.alias("k")).agg(
-        *[cell(r, b).alias(f"c{r}{int(b)}") for r in range(K) for b in (False, True)]
-    )
-    empty = (
-        df.sparkSession.range(B_STEPS)
-        .select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(B_INNER))).alias("k"))
-        .select("i", "k", *[F.lit(0).cast("long").alias(n) for n in names])
-    )
-    full = placed.unionByName(empty).groupBy("i", "k").agg(*[F.sum(n).alias(n) for n in names])
-    upto = Window.partitionBy("i").orderBy("k")
-    everything = Window.partitionBy("i")
-    full = full.withColumns(
-        {f"u{n[1:]}": F.sum(n).over(upto) for n in names} | {f"t{n[1:]}": F.sum(n).over(everything) for n in names}
-    ).filter(F.col("k") < B_INNER)
-    cells = {}
-    for r in range(K):
-        cells[f"n{r}0"] = F.col(f"u{r}1")
-        cells[f"n{r}1"] = F.col(f"u{r}0")
-        cells[f"n{r}2"] = F.col(f"t{r}0") + F.col(f"t{r}1") - F.col(f"u{r}0") - F.col(f"u{r}1")
-    full = full.withColumns(cells)
-    # back from ascending place to loop order
-    down = start > B_HI
-    loop_k = F.when(down, B_INNER - 1 - F.col("k")).otherwise(F.col("k"))
-    scored = full.select(
+    t1 = B_LO + F.col("i") * ((B_HI - B_LO) / (steps - 1))
+    start = t1 + 0.001
+    scored = found.select(
         F.lit(1).alias("one"),
-        (F.col("i") * B_INNER + loop_k).alias("place"),
+        (F.col("i") * inner + F.col("k")).alias("place"),
         t1.alias("t_low"),
-        (start + loop_k * step).alias("t_high"),
+        (start + F.col("k") * ((B_HI - start) / (inner - 1))).alias("t_high"),
         F.round(_weighted(_f1), 12).alias("f1"),
     )
     return best_of_grid(scored, "f1", "place", ["one"], ["t_low", "t_high"]).drop("one", "place")

@@ -164,10 +164,39 @@ def eva_08(spark, sf):
     return ev.search_thresholds(scored(spark, sf), ["symbol"]).withColumn("f1", rounded("f1"))
 
 
-@query("eva_09_threshold_search_fine")
+def fine_sql(steps: int, inner: int) -> str:
+    """The best pair of a grid of any size: rows above every threshold of an axis share a cell, and cells meet the grid."""
+    lo, hi = f"CAST({ev.B_LO} AS DOUBLE)", f"CAST({ev.B_HI} AS DOUBLE)"
+    width = f"CAST({(ev.B_HI - ev.B_LO) / (steps - 1)!r} AS DOUBLE)"
+    counts = ", ".join(f"sum(CASE WHEN real = {r} AND pr = {c} THEN n ELSE 0 END) AS n{r}{c}" for r in range(3) for c in range(3))
+    support = ", ".join(f"n{i}0 + n{i}1 + n{i}2 AS s{i}, n0{i} + n1{i} + n2{i} AS c{i}" for i in range(3))
+    f1 = " + ".join(f"coalesce(2.0 * n{i}{i} / nullif(s{i} + c{i}, 0), 0) * s{i}" for i in range(3))
+    return f"""cells AS MATERIALIZED (SELECT real, p0, p2, count(*) AS n FROM (SELECT real, CASE WHEN p0 > 0.06 THEN 1.0 WHEN p0 <= 0.001 THEN 0.0 ELSE p0 END AS p0, CASE WHEN p2 > 0.06 THEN 1.0 WHEN p2 <= 0.002 THEN 0.0 ELSE p2 END AS p2 FROM scored) GROUP BY 1, 2, 3),
+firsts AS (SELECT i, {lo} + i * {width} AS t1 FROM range({steps}) x(i)),
+pairs AS MATERIALIZED (SELECT i, k, t1, (t1 + CAST(0.001 AS DOUBLE)) + k * (({hi} - (t1 + CAST(0.001 AS DOUBLE))) / {inner - 1}) AS t2 FROM firsts, range({inner}) y(k)),
+met AS (SELECT i, k, t1, t2, {counts} FROM (SELECT i, k, t1, t2, real, n, CASE WHEN p2 > t2 THEN 2 WHEN p0 > t1 THEN 0 ELSE 1 END AS pr FROM cells, pairs) GROUP BY 1, 2, 3, 4),
+best AS (SELECT t1, t2, round(({f1}) / (s0 + s1 + s2), 12) AS f1, i * {inner} + k AS place FROM (SELECT *, {support} FROM met))
+SELECT {q.rnd('t1', 9)} AS t_low, {q.rnd('t2', 9)} AS t_high, {q.rnd('f1', 9)} AS f1 FROM best ORDER BY best.f1 DESC, place LIMIT 1"""
+
+
+def _fine(found):
+    return found.select(*rounded_cols(["t_low", "t_high", "f1"], 9))
+
+
+def _with_fine(steps: int, inner: int) -> str:
+    ctes, _, rows = fine_sql(steps, inner).rpartition("\nSELECT ")
+    return q.with_(*BASE, ctes) + f"SELECT {rows}"
+
+
+@query("eva_09_threshold_search_fine", _with_fine(ev.B_STEPS, ev.B_INNER))
 def eva_09(spark, sf):
-    """Checked against brute force in the tests; 100,000 pairs are too many for the SQL."""
-    return ev.search_thresholds_fine(scored(spark, sf)).select(*rounded_cols(["t_low", "t_high", "f1"], 9))
+    return _fine(ev.search_thresholds_fine(scored(spark, sf)))
+
+
+@query("eva_09_threshold_search_coarse", _with_fine(60, 15))
+def eva_09_coarse(spark, sf):
+    """The same search over 60 x 15 pairs."""
+    return _fine(ev.search_thresholds_fine(scored(spark, sf), 60, 15))
 
 
 SAMPLES_SQL = f"""sv AS (SELECT symbol, ts, CAST(s AS INTEGER) AS sample, {', '.join(f"{q.hash_u(f'symbol || {chr(39)}:{chr(39)} || ts || {chr(39)}:{chr(39)} || s || {chr(39)}:{i}{chr(39)}')} AS u{i}" for i in range(3))}
