@@ -1,8 +1,8 @@
 """Additive trend + seasonality forecast with regressors, one ridge regression per symbol.
 
-The rows of all symbols are reduced to Gram matrices in one pass: each Arrow batch adds
-up x x' per symbol, the partial sums are merged over the shuffle, and only k x k numbers
-per symbol are solved.  No symbol's rows are ever gathered.
+The rows of all symbols are reduced to Gram matrices in one pass: each task adds up x x'
+per symbol, one row per symbol and task goes over the shuffle, and only k x k numbers per
+symbol are solved.  No symbol's rows are ever gathered.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,45 +83,93 @@ def _scales(train: DataFrame, regressors: list[str]) -> DataFrame:
     )
 
 
-def _partial_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for symbol, part in pdf.groupby("symbol", sort=False):
-            z = np.column_stack([np.stack(part["x"].to_numpy()), part["z"].to_numpy(), np.ones(len(part))])
-            out.append((symbol, (z.T @ z).ravel()))
-        yield pd.DataFrame(out, columns=["symbol", "g"])
-
-
-def fit(train: DataFrame, regressors: list[str]) -> DataFrame:
-    """One row per symbol: scales, coefficients and residual deviation."""
-    scales = _scales(train, regressors)
-    rows = train.join(scales, "symbol").select(
-        "symbol",
-        F.year("ds").alias("year"),
-        F.array(*_design(regressors)).alias("x"),
-        F.coalesce(ratio(F.col("y") - F.col("y_mean"), "y_std"), F.lit(0.0)).alias("z"),
-    )
-    # years of one symbol side by side, so that a batch adds up long runs of rows
-    rows = rows.repartition("symbol", "year").sortWithinPartitions("symbol")
-    partial = rows.mapInPandas(_partial_grams, "symbol string, g array<double>")
-    cells = partial.select("symbol", F.posexplode("g").alias("pos", "v")).groupBy("symbol", "pos").agg(F.sum("v").alias("v"))
-    # k*k numbers per symbol, whatever its history
-    grams = cells.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda c: c.v).alias("g"))
-    penalty = _penalties(len(regressors))
-
+#: partial sums of a key are merged in this many groups before the last merge
+MERGE_GROUPS = 64
+#: keys that a task holds sums of before it hands them on
+HELD_KEYS = 512
+
+
+def _partial_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of x x' per symbol over a whole task: one row a symbol, the upper triangle row by row."""
+    held: dict[str | None, np.ndarray] = {}
+
+    def rows() -> pa.RecordBatch:
+        part = TaskContext.get().partitionId() % MERGE_GROUPS
+        flat = [m[np.triu_indices(len(m))] for m in held.values()]
+        columns = [pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int32()), pa.array(flat, pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["symbol", "part", "g"])
+
+    for batch in batches:
+        codes = batch.column("symbol").dictionary_encode()
+        width = len(batch.column("x")[0]) if batch.num_rows else 0
+        x = batch.column("x").flatten().to_numpy().reshape(-1, width) if width else np.zeros((0, 0))
+        index = codes.indices.fill_null(len(codes.dictionary)).to_numpy()
+        names = [*codes.dictionary.to_pylist(), None]
+        for code in np.unique(index):
+            own = x[index == code]
+            held[names[code]] = held.get(names[code], 0.0) + own.T @ own
+        if len(held) >= HELD_KEYS:
+            yield rows()
+            held.clear()
+    if held:
+        yield rows()
+
+
+def gram_sums(rows: DataFrame) -> DataFrame:
+    """``rows`` (symbol, x array<double>) to one upper triangle ``g`` of the sum of x x' per symbol.
+
+    A task adds up what it reads and sends one row a symbol; rows are not dealt out by symbol before, so a symbol
+    with a third of all rows is as much work for each task as any other.  The partial sums merge in two steps, the
+    first over groups of tasks, so that no merge reads more than a share of the tasks' rows.
+    """
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    total = F.aggregate(F.slice("_g", 2, F.greatest(F.size("_g") - 1, F.lit(1))), F.element_at("_g", 1), plus)
+    partial = rows.mapInArrow(_partial_grams, "symbol string, part int, g array<double>")
+    for keys in (["symbol", "part"], ["symbol"]):
+        partial = partial.groupBy(*keys).agg(F.collect_list("g").alias("_g")).select(*keys, total.alias("g"))
+    return partial
+
+
+def _square(flat) -> np.ndarray:
+    """The symmetric matrix of an upper triangle."""
+    flat = np.asarray(flat, dtype=float)
+    k = (math.isqrt(8 * len(flat) + 1) - 1) // 2
+    m = np.zeros((k, k))
+    m[np.triu_indices(k)] = flat
+    return m + np.triu(m, 1).T
+
+
+def _solver(penalty: np.ndarray):
     @F.pandas_udf("beta array<double>, sigma double")
     def solve(g: pd.Series) -> pd.DataFrame:
         out = []
         for flat in g:
-            k = int(round(math.sqrt(len(flat)))) - 2
-            m = np.asarray(flat, dtype=float).reshape(k + 2, k + 2)
-            xx, xz, zz, n = m[:k, :k], m[:k, k], m[k, k], m[k + 1, k + 1]
+            m = _square(flat)
+            xx, xz, zz, n = m[:-2, :-2], m[:-2, -2], m[-2, -2], m[-1, -1]
             beta = np.linalg.lstsq(xx + np.diag(penalty), xz, rcond=None)[0]
             sse = max(0.0, zz - 2.0 * beta @ xz + beta @ xx @ beta)
             out.append((beta.tolist(), math.sqrt(sse / max(1.0, n))))
         return pd.DataFrame(out, columns=["beta", "sigma"])
 
-    return grams.select("symbol", solve("g").alias("f")).select("symbol", "f.*").join(scales, "symbol")
+    return solve
+
+
+def least_squares(df: DataFrame, y: str, regressors: list[str], ridge: float = 0.0) -> DataFrame:
+    """One row per symbol: the coefficients (level first) of ``y`` on the regressors, and the root mean square of the
+    residuals, on the rows without nulls."""
+    rows = df.select("symbol", F.col(y).cast("double").alias(y), *[F.col(r).cast("double").alias(r) for r in regressors if r != y]).na.drop()
+    x = F.array(F.lit(1.0), *regressors, y, F.lit(1.0))
+    penalty = np.array([0.0] + [ridge] * len(regressors))
+    return gram_sums(rows.select("symbol", x.alias("x"))).select("symbol", _solver(penalty)("g").alias("f")).select("symbol", "f.*")
+
+
+def fit(train: DataFrame, regressors: list[str]) -> DataFrame:
+    """One row per symbol: scales, coefficients and residual deviation."""
+    scales = _scales(train, regressors)
+    z = F.coalesce(ratio(F.col("y") - F.col("y_mean"), "y_std"), F.lit(0.0))
+    rows = train.join(scales, "symbol").select("symbol", F.array(*_design(regressors), z, F.lit(1.0)).alias("x"))
+    solved = gram_sums(rows).select("symbol", _solver(_penalties(len(regressors)))("g").alias("f"))
+    return solved.select("symbol", "f.*").join(scales, "symbol")
 
 
 def predict(rows: DataFrame, model: DataFrame, regressors: list[str]) -> DataFrame:

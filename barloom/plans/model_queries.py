@@ -9,6 +9,7 @@ from barloom.operators import classifier as cl
 from barloom.operators import forecast as fc
 from barloom.operators import lookups as lk
 from barloom.operators import series as se
+from barloom.operators.indicators import pct_change
 from barloom.plans import sql as q
 from barloom.plans.feature_queries import FEATURE_SQL, features
 from barloom.plans.registry import query
@@ -55,6 +56,35 @@ def mod_04(spark, sf):
     return fc.forecast(with_regressors(spark, sf))
 
 
+TWO_SQL = """lsq AS (SELECT symbol, count(*) AS n, avg(close) AS my, avg(ret) AS ma, avg(volume) AS mb, var_pop(ret) AS vaa, var_pop(volume) AS vbb, covar_pop(ret, volume) AS vab,
+  covar_pop(close, ret) AS vya, covar_pop(close, volume) AS vyb, var_pop(close) AS vyy FROM num WHERE ret IS NOT NULL GROUP BY 1),
+slopes AS (SELECT *, (vya * vbb - vyb * vab) / (vaa * vbb - vab * vab) AS b1, (vyb * vaa - vya * vab) / (vaa * vbb - vab * vab) AS b2 FROM lsq)"""
+
+
+@query(
+    "mod_04_least_squares",
+    q.with_(q.INDEX_BARS, q.NUMBERED, TWO_SQL)
+    + f"SELECT symbol, {q.rnd('my - b1 * ma - b2 * mb')} AS level, {q.rnd('b1')} AS slope_return, {q.rnd('b2')} AS slope_volume, {q.rnd('sqrt(greatest(0, vyy - b1 * vya - b2 * vyb))')} AS sigma FROM slopes",
+)
+def mod_04_least_squares(spark, sf):
+    """The close on two regressors, the bar's return and volume, from the Gram sums of the forecast."""
+    s = se.by_symbol(tables.index_bars(spark, sf))
+    df = s.with_columns({"ret": pct_change(s.frames)}).df
+    found = fc.least_squares(df, "close", ["ret", "volume"])
+    beta = lambda i: rounded(F.element_at("beta", i))
+    return found.select("symbol", beta(1).alias("level"), beta(2).alias("slope_return"), beta(3).alias("slope_volume"), rounded("sigma").alias("sigma"))
+
+
+@query(
+    "mod_04_trend",
+    q.with_(q.INDEX_BARS, q.NUMBERED) + f"SELECT symbol, {q.rnd('regr_intercept(close, rn)')} AS level, {q.rnd('regr_slope(close, rn)', 9)} AS slope FROM num GROUP BY 1",
+)
+def mod_04_trend(spark, sf):
+    """The close on the bar's number."""
+    found = fc.least_squares(se.by_symbol(tables.index_bars(spark, sf)).df, "close", ["rn"])
+    return found.select("symbol", rounded(F.element_at("beta", 1)).alias("level"), rounded(F.element_at("beta", 2), 9).alias("slope"))
+
+
 PREP_SQL = """prep AS (SELECT symbol, CAST(ts AS DATE) AS ds, close AS y, rsi, macd, macd_signal, atr FROM feats
   WHERE rsi IS NOT NULL AND macd IS NOT NULL AND macd_signal IS NOT NULL AND atr IS NOT NULL)"""
 PREP_COLS = ["y", "rsi", "macd", "macd_signal", "atr"]
