@@ -22,9 +22,16 @@ EMITTED_SQL = [
 BAR_SCHEMA = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 
 
+def arriving(spark, sf):
+    """The event table as a stream of four micro-batches in order of time."""
+    path = new_path(spark, "events")
+    files = ticks.in_order_of_time(spark, tables.table(spark, sf, "events"), path)
+    return ticks.event_stream(spark, f"{path}/*", files, "part-*.parquet")
+
+
 def _bar_files(spark, sf) -> str:
     path = new_path(spark, "stream-bars")
-    stream = ticks.bar_rows(ticks.streaming_bars(ticks.event_stream(spark, sf)))
+    stream = ticks.bar_rows(ticks.streaming_bars(arriving(spark, sf)))
     ticks.run_to_files(stream, path, new_path(spark, "stream-bars-checkpoint"))
     return path
 
@@ -60,7 +67,7 @@ FIRED_SQL = "fired AS (SELECT rule_id, rules.symbol, ts, close, ref, t FROM bars
 )
 def str_02(spark, sf):
     path = new_path(spark, "stream-alerts")
-    bars = ticks.streaming_bars(ticks.event_stream(spark, sf))
+    bars = ticks.streaming_bars(arriving(spark, sf))
     alerts = ticks.price_alerts(bars, event_rules(spark, sf)).drop("at")
     ticks.run_to_files(alerts, path, new_path(spark, "stream-alerts-checkpoint"))
     return spark.read.schema("rule_id bigint, symbol string, message string").parquet(path)
@@ -72,7 +79,7 @@ def str_02(spark, sf):
 )
 def str_03(spark, sf):
     path = new_path(spark, "stream-once")
-    bars = ticks.streaming_bars(ticks.event_stream(spark, sf))
+    bars = ticks.streaming_bars(arriving(spark, sf))
     alerts = ticks.fire_once(ticks.price_alerts(bars, event_rules(spark, sf)))
     ticks.run_to_files(alerts.select("rule_id", "symbol"), path, new_path(spark, "stream-once-checkpoint"))
     return spark.read.schema("rule_id bigint, symbol string").parquet(path)
@@ -84,9 +91,10 @@ def str_03(spark, sf):
     + f"SELECT symbol, ts, {q.rnd('close')} AS close, {q.rnd('rsi_14')} AS rsi_14 FROM num LEFT JOIN rsi USING (symbol, rn)",
 )
 def str_04(spark, sf):
-    source, path = _bar_files(spark, sf), new_path(spark, "stream-rsi")
-    bars = spark.readStream.schema(BAR_SCHEMA).parquet(source)
-    ticks.run_to_files(rsi_state.streaming_rsi(bars), path, new_path(spark, "stream-rsi-checkpoint"))
+    """Ticks to bars to RSI in one stream: two stateful steps under one watermark."""
+    path = new_path(spark, "stream-rsi")
+    bars = ticks.streaming_bars(arriving(spark, sf)).select("symbol", F.col("w.start").cast("timestamp_ntz").alias("ts"), "close", F.window_time("w").alias("at"))
+    ticks.run_to_files(rsi_state.streaming_rsi(bars, late=None), path, new_path(spark, "stream-rsi-checkpoint"), **rsi_state.STORE)
     out = spark.read.schema(rsi_state.OUTPUT).parquet(path)
     return out.select("symbol", "ts", rounded("close").alias("close"), rounded("rsi_14").alias("rsi_14"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,27 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 LATE = "1 hour"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+def in_order_of_time(spark: SparkSession, events: DataFrame, path: str, parts: int = 4) -> int:
+    """Write ``events`` into ``path`` in ``parts`` stretches of time, one after the other, as if they arrived so; the
+    number of files of the largest stretch, which a trigger must take."""
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        events.write.parquet(f"{path}/part=0")
+        return 1
+    cuts = [low + (high - low) * i / parts for i in range(1, parts)]
+    number = sum((F.col("ts") >= F.lit(c)).cast("int") for c in cuts)
+    most = 1
+    for i in range(parts):
+        events.where(number == i).write.parquet(f"{path}/part={i}")
+        most = max(most, len(spark.read.parquet(f"{path}/part={i}").inputFiles()))
+    return most
+
+
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, pattern: str = "events*.parquet") -> DataFrame:
     """Ticks from files arriving in a folder.  Event time must be zone-aware for watermarks."""
     raw = (
         spark.readStream.schema(EVENT_SCHEMA)
-        .option("pathGlobFilter", "events*.parquet")
+        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(folder)
     )
@@ -68,8 +86,26 @@ def fire_once(alerts: DataFrame) -> DataFrame:
     return alerts.drop("at").dropDuplicates(["rule_id"])
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there, write parquet exactly once, stop."""
+@contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """Session settings for the time of a stream's start."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, **conf: str) -> None:
+    """Process what is there, write parquet exactly once, stop; ``conf`` holds while the stream runs."""
+    with settings(stream.sparkSession, **conf):
+        _run_to_files(stream, path, checkpoint)
+
+
+def _run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
