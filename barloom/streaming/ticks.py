@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.text import two_decimals
+from barloom.session import stored
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 LATE = "1 hour"
@@ -63,13 +64,42 @@ def bar_rows(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def price_alerts(bars: DataFrame, rules: DataFrame) -> DataFrame:
-    """Price rules on every emitted bar: stream-static join on symbol.  The bar's end stays
-    an event time, so that a following deduplication has a watermark."""
-    price_rules = rules.filter(F.col("active") & F.col("type").isin("price_above", "price_below")).select(
+#: blocks that the price references of a symbol and type are cut into
+REFERENCE_BLOCKS = 64
+
+
+def reference_blocks(rules: DataFrame, blocks: int = REFERENCE_BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """Active price rules with the block of their reference, and the edges of the blocks, one row per symbol and type.
+
+    The edges are references that about equal numbers of rules lie between; they come from a sketch that merges map-side, so
+    no symbol's rules are sorted in one task.  Block k holds the references above edge k - 1 and up to edge k.
+    """
+    price = rules.filter(F.col("active") & F.col("type").isin("price_above", "price_below")).select(
         "rule_id", "symbol", "type", F.col("condition.reference").alias("reference")
-    )
-    df = bars.withColumn("at", F.window_time("w")).join(price_rules, "symbol")
+    ).filter("reference IS NOT NULL")
+    shares = [i / blocks for i in range(1, blocks)]
+    edges = price.groupBy("symbol", "type").agg(F.array_distinct(F.percentile_approx("reference", shares, 10_000)).alias("edges"))
+    block = F.size(F.filter("edges", lambda e: e < F.col("reference")))
+    return price.join(edges, ["symbol", "type"]).select(*price.columns, block.alias("block")), edges
+
+
+def crossed_blocks(bars: DataFrame, edges: DataFrame) -> DataFrame:
+    """A bar once for every block of which it can fire rules: those below its close for rules that wait for a rise, those
+    from its close on for rules that wait for a fall.  All rules of all but one of the blocks do fire."""
+    at = F.size(F.filter("edges", lambda e: e < F.col("close")))
+    first = F.when(F.col("type") == "price_above", 0).otherwise(at)
+    last = F.when(F.col("type") == "price_above", at).otherwise(F.size("edges"))
+    met = bars.join(edges, "symbol").withColumn("block", F.explode(F.sequence(first, last)))
+    return met.drop("edges")
+
+
+def price_alerts(bars: DataFrame, rules: DataFrame, blocks: int = REFERENCE_BLOCKS) -> DataFrame:
+    """Price rules on every emitted bar.  Rules and bars meet on (symbol, type, block of references), so nearly all rows
+    that meet fire, and a symbol's rules are spread over its blocks.  The bar's end stays an event time, so that a
+    following deduplication has a watermark."""
+    price_rules, edges = reference_blocks(rules, blocks)
+    price_rules, edges = stored(price_rules, "price-rules"), stored(edges, "price-edges")
+    df = crossed_blocks(bars.withColumn("at", F.window_time("w")), edges).join(price_rules, ["symbol", "type", "block"])
     above = (F.col("type") == "price_above") & (F.col("close") > F.col("reference"))
     below = (F.col("type") == "price_below") & (F.col("close") < F.col("reference"))
     word: Column = F.when(above, "ABOVE").when(below, "BELOW")
