@@ -33,8 +33,9 @@ def alternate_multiplier(n: Column, min_class_share: Column) -> Column:
     return F.when(n < 2000, F.round(lifted, 1))
 
 
-def policy(df: DataFrame) -> DataFrame:
-    """Per symbol: rows, multiplier, number of replicas (0 under ten rows), alternate multiplier."""
+def policy(df: DataFrame, least: int = 1) -> DataFrame:
+    """Per symbol: rows, multiplier, number of replicas, alternate multiplier.  A symbol gets one replica less than its
+    multiplier and ``least`` at any size; under ten rows it gets none."""
     per_class = df.groupBy("symbol", "target_class").agg(F.count(F.lit(1)).alias("n"))
     classed = F.col("target_class").isNotNull()
     agg = per_class.groupBy("symbol").agg(
@@ -46,26 +47,28 @@ def policy(df: DataFrame) -> DataFrame:
         "symbol",
         "n_rows",
         m.alias("multiplier"),
-        F.when(F.col("n_rows") >= 10, m - 1).otherwise(0).alias("replicas"),
+        F.when(F.col("n_rows") >= 10, F.greatest(m - 1, F.lit(least))).otherwise(0).alias("replicas"),
         alternate_multiplier(F.col("n_rows"), F.col("min_class_share")).alias("alternate_multiplier"),
     )
 
 
-def _plan(df: DataFrame, replicas: Column | int, columns: list[str] = ()) -> DataFrame:
+def _plan(df: DataFrame, replicas: Column | int, columns: list[str] = (), only: str | None = None) -> DataFrame:
     """One row per (symbol, replica 1..k) with the symbol's row count and deviations: the
-    random curves are drawn here, once per replica, not once per row."""
+    random curves are drawn here, once per replica, not once per row.  ``only`` keeps the
+    replicas that draw this technique, before any row is copied."""
     k = F.lit(replicas) if isinstance(replicas, int) else F.max(replicas)
     agg = df.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), k.alias("_k"), *[F.stddev_pop(x).alias(f"sd_{x}") for x in columns]
     )
-    return agg.filter("_k > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).drop("_k")
+    made = agg.filter("_k > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).drop("_k")
+    return made if only is None else made.filter(technique() == only)
 
 
-def jitter(df: DataFrame, columns: list[str], replicas: Column | int = 1, noise: float = NOISE) -> DataFrame:
+def jitter(df: DataFrame, columns: list[str], replicas: Column | int = 1, noise: float = NOISE, only: str | None = None) -> DataFrame:
     """Normal noise with ``noise`` times the column's population deviation; a volume that
     would turn negative anywhere in a replica is taken absolute."""
     columns = [x for x in columns if x not in LABELS]
-    rows = df.join(_plan(df, replicas, columns), "symbol")
+    rows = df.join(_plan(df, replicas, columns, only), "symbol")
 
     def shaken(x: str) -> Column:
         z = hash_normal("symbol", "replica", "ts", F.lit(f"jitter-{x}"))
@@ -105,10 +108,10 @@ def _knots(kind: str, sigma: float) -> list[Column]:
     ]
 
 
-def magnitude_warp(df: DataFrame, columns: list[str], replicas: Column | int = 1, sigma: float = SIGMA) -> DataFrame:
+def magnitude_warp(df: DataFrame, columns: list[str], replicas: Column | int = 1, sigma: float = SIGMA, only: str | None = None) -> DataFrame:
     """Multiply by a smooth random curve within [0.5, 2]; labels, calendar and volume stay.
     Symbols under ten rows are returned unchanged (the policy makes no replica of them)."""
-    plan = with_spline(_plan(df, replicas), _knots("magnitude", sigma))
+    plan = with_spline(_plan(df, replicas, only=only), _knots("magnitude", sigma))
     rows = by_symbol(df).df.join(plan, "symbol")
     rows = rows.withColumn("_t", F.col("rn") * (KNOTS + 1.0) / F.greatest(F.col("n") - 1, F.lit(1)))
     rows = rows.withColumn("_mult", F.when(F.col("n") >= 10, clip(spline_at(F.col("_t")), 0.5, 2.0)).otherwise(1.0))
@@ -116,7 +119,7 @@ def magnitude_warp(df: DataFrame, columns: list[str], replicas: Column | int = 1
     return rows.withColumns(warped).drop("_t", "_mult", "_y", "_m", "rn", "n")
 
 
-def time_warp(df: DataFrame, columns: list[str], replicas: Column | int = 1, sigma: float = SIGMA) -> DataFrame:
+def time_warp(df: DataFrame, columns: list[str], replicas: Column | int = 1, sigma: float = SIGMA, only: str | None = None) -> DataFrame:
     """Read every column at a smoothly shifted position, between rows by straight lines.
 
     The shifted position is a column of the row; the two source rows it lies between come
@@ -125,7 +128,7 @@ def time_warp(df: DataFrame, columns: list[str], replicas: Column | int = 1, sig
     values = [x for x in columns if x not in LABELS]
     s = by_symbol(df)
     curve = [float(i) * k for i, k in enumerate(_knots("time", sigma))]
-    rows = s.df.join(with_spline(_plan(df, replicas), curve), "symbol")
+    rows = s.df.join(with_spline(_plan(df, replicas, only=only), curve), "symbol")
     rows = rows.withColumn("_span", F.greatest(F.lit(1), F.col("n") - 1) / (KNOTS + 1.0))
     rows = rows.withColumn("_t", F.col("rn") / F.col("_span"))
     at = F.greatest(F.lit(0.0), F.least(F.col("n") - 1.0, spline_at(F.col("_t")) * F.col("_span")))
@@ -156,13 +159,13 @@ def technique() -> Column:
     return F.get(others, pick)
 
 
-def augment(df: DataFrame, columns: list[str]) -> DataFrame:
+def augment(df: DataFrame, columns: list[str], least: int = 1) -> DataFrame:
     """Originals (replica 0) and the replicas the policy asks for, each by its technique."""
-    plan = policy(df).select("symbol", "replicas")
+    plan = policy(df, least).select("symbol", "replicas")
     df = df.join(plan, "symbol")
     made = None
     for name, fn in (("jitter", jitter), ("time_warp", time_warp), ("magnitude_warp", magnitude_warp)):
-        rows = fn(df, columns, F.col("replicas")).withColumn("technique", technique()).filter(F.col("technique") == name)
+        rows = fn(df, columns, F.col("replicas"), only=name).withColumn("technique", F.lit(name))
         made = rows if made is None else made.unionByName(rows)
     originals = df.withColumns({"replica": F.lit(0), "technique": F.lit("none")})
     return originals.unionByName(made).drop("replicas")

@@ -49,6 +49,13 @@ def roc(f: Frames, n: int = 14) -> Column:
 
 
 def williams_r(f: Frames, n: int = 14) -> Column:
+    """-100 at the bottom of the last n bars' range, 0 at its top; the middle (-50) for a symbol that has closes but no
+    highs or no lows at all."""
+    no_range = (F.count("high").over(f.whole()) == 0) | (F.count("low").over(f.whole()) == 0)
+    return F.when(no_range, F.lit(-50.0)).otherwise(_williams_r(f, n))
+
+
+def _williams_r(f: Frames, n: int) -> Column:
     hi, lo = F.max("high").over(f.last(n)), F.min("low").over(f.last(n))
     return full(n, -100.0 * ratio(hi - F.col("close"), hi - lo))
 

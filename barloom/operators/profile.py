@@ -83,12 +83,13 @@ def class_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if "class" in c.lower() or "target" in c.lower()]
 
 
-def class_distribution(df: DataFrame, column: str, key: str = "symbol") -> DataFrame:
-    """Count and percentage per class with the imbalance of the whole column."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(key, F.col(column).cast("string").alias("class_value")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    totals = counts.groupBy(key).agg(
+def class_distributions(df: DataFrame, columns: list[str] | None = None, key: str = "symbol") -> DataFrame:
+    """Count and percentage per class of every class column, with the column's imbalance, from one pass over the rows."""
+    columns = class_columns(df) if columns is None else columns
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("class_value")) for c in columns]
+    long = df.select(key, F.explode(F.array(*cells)).alias("_s")).select(key, "_s.*").filter("class_value IS NOT NULL")
+    counts = long.groupBy(key, "column_name", "class_value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(key, "column_name").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("n_classes"),
         (F.max("n").cast("double") / F.min("n")).alias("imbalance"),
@@ -96,7 +97,7 @@ def class_distribution(df: DataFrame, column: str, key: str = "symbol") -> DataF
     balance = band(
         "imbalance", [(1.5, "balanced"), (3.0, "slightly_imbalanced"), (10.0, "imbalanced")], "severely_imbalanced"
     )
-    out = counts.join(totals, key).withColumns({"pct": 100.0 * F.col("n") / F.col("total"), "balance": balance})
+    out = counts.join(totals, [key, "column_name"]).withColumns({"pct": 100.0 * F.col("n") / F.col("total"), "balance": balance})
     return out.drop("total")
 
 

@@ -456,7 +456,7 @@ def aug_03(spark, sf):
 @query(
     "aug_04_policy",
     q.with_(q.INDEX_BARS, CLASS_SQL)
-    + f"""SELECT symbol, n_rows, m AS multiplier, CASE WHEN n_rows >= 10 THEN m - 1 ELSE 0 END AS replicas,
+    + f"""SELECT symbol, n_rows, m AS multiplier, CASE WHEN n_rows >= 10 THEN greatest(m - 1, 1) ELSE 0 END AS replicas,
   {q.rnd("CASE WHEN n_rows < 2000 THEN round(greatest(1.5, least(4.0, 1000.0 / n_rows)) * CASE WHEN share < 0.15 THEN 1.3 ELSE 1 END, 1) END")} AS alternate_multiplier FROM (
   SELECT symbol, n_rows, CASE WHEN n_rows < 1000 THEN 3 WHEN n_rows < 5000 THEN 2 ELSE 1 END AS m, share FROM (
     SELECT symbol, sum(n) AS n_rows, min(n) FILTER (target_class IS NOT NULL) * 1.0 / sum(n) FILTER (target_class IS NOT NULL) AS share FROM (
@@ -515,7 +515,7 @@ def aug_05_set_jitter(spark, sf):
     "aug_06_labels_kept",
     q.with_(q.INDEX_BARS, CLASS_SQL)
     + """SELECT symbol, replica, CAST(target_class AS INTEGER) AS target_class, count(*) AS n FROM classes
-  JOIN (SELECT symbol, CASE WHEN count(*) < 10 THEN 0 WHEN count(*) < 1000 THEN 2 WHEN count(*) < 5000 THEN 1 ELSE 0 END AS k FROM classes GROUP BY 1) USING (symbol),
+  JOIN (SELECT symbol, CASE WHEN count(*) < 10 THEN 0 WHEN count(*) < 1000 THEN 2 ELSE 1 END AS k FROM classes GROUP BY 1) USING (symbol),
   (SELECT unnest([0, 1, 2]) AS replica) WHERE replica <= k GROUP BY 1, 2, 3""",
 )
 def aug_06(spark, sf):

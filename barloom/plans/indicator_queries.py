@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.expr import rounded
 from barloom.operators import indicators as ind
 from barloom.operators import series as se
+from barloom.operators.series import by_symbol
 from barloom.plans import sql as q
 from barloom.plans.registry import query
 from barloom.sources import tables
@@ -242,6 +243,20 @@ def win_13(spark, sf):
     return _out(s.with_columns({"roc": ind.roc(s.frames)}), ["roc"])
 
 
+@query(
+    "win_14_without_range",
+    q.with_(q.ORDER_BARS, q.NUMBERED)
+    + f"""SELECT symbol, ts, CASE WHEN symbol < 'C' THEN -50.0 ELSE {q.rnd('-100 * (hi - close) / nullif(hi - lo, 0)', DIGITS)} END AS williams_r FROM
+  (SELECT *, {q.roll('max', 'high', 14)} AS hi, {q.roll('min', 'low', 14)} AS lo FROM num)""",
+)
+def win_14_line(spark, sf):
+    """Segments before C are taken as lines of closes, without highs and lows."""
+    line = F.col("symbol") < "C"
+    bars = tables.order_bars(spark, sf).withColumns({x: F.when(~line, F.col(x)) for x in ("high", "low")})
+    s = by_symbol(bars)
+    return _out(s.with_columns({"williams_r": ind.williams_r(s.frames)}), ["williams_r"])
+
+
 @query(
     "win_14_williams_r",
     q.with_(q.ORDER_BARS, q.NUMBERED)

@@ -111,16 +111,20 @@ def labelled(spark, sf):
 @query(
     "agg_04_class_distribution",
     q.with_(q.INDEX_BARS, CLASS_SQL)
-    + f"""SELECT symbol, class_value, n, {q.rnd('100.0 * n / sum(n) OVER w')} AS pct, count(*) OVER w AS n_classes,
+    + f"""SELECT symbol, column_name, class_value, n, {q.rnd('100.0 * n / sum(n) OVER w')} AS pct, count(*) OVER w AS n_classes,
   {q.rnd('max(n) OVER w * 1.0 / min(n) OVER w')} AS imbalance,
   CASE WHEN max(n) OVER w * 1.0 / min(n) OVER w < 1.5 THEN 'balanced' WHEN max(n) OVER w * 1.0 / min(n) OVER w < 3 THEN 'slightly_imbalanced'
        WHEN max(n) OVER w * 1.0 / min(n) OVER w < 10 THEN 'imbalanced' ELSE 'severely_imbalanced' END AS balance
-FROM (SELECT symbol, CAST(target_class AS VARCHAR) AS class_value, count(*) AS n FROM classes WHERE target_class IS NOT NULL GROUP BY 1, 2)
-WINDOW w AS (PARTITION BY symbol)""",
+FROM (SELECT symbol, column_name, class_value, count(*) AS n FROM (
+  SELECT symbol, 'target_class' AS column_name, CAST(target_class AS VARCHAR) AS class_value FROM classes
+  UNION ALL SELECT symbol, 'target_return', CAST(CAST(floor((lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close - 1) * 1000 + 0.5) AS BIGINT) AS VARCHAR) FROM bars)
+  WHERE class_value IS NOT NULL GROUP BY 1, 2, 3)
+WINDOW w AS (PARTITION BY symbol, column_name)""",
 )
 def agg_04(spark, sf):
-    df = labelled(spark, sf).drop("target_return")
-    out = pf.class_distribution(df, pf.class_columns(df)[0])
+    """Both class columns; the return is cut into classes of a tenth of a percent."""
+    df = labelled(spark, sf).withColumn("target_return", F.floor(F.col("target_return") * 1000 + 0.5).cast("long"))
+    out = pf.class_distributions(df)
     return out.withColumns({"pct": rounded("pct"), "imbalance": rounded("imbalance")})
 
 
