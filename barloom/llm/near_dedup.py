@@ -230,7 +230,8 @@ def rare_pairs(members: DataFrame, percent: int, matches: int = 0) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``cls`` (equal sets), ``component_id`` (least id of the component) of every row."""
+    """``doc_id``, ``n_shingles``, ``cls`` (equal sets), ``root`` (a class that names the component, null without
+    shingles), ``component_id`` (least id of the component) of every row."""
     matches = least_matches(percent / 100)
     rows = stored(docs.select(F.col(doc_id).alias("doc_id"), _sketch(k)(F.col(text)).alias("_s")).select("doc_id", "_s.*"), "near-sketches")
     with_set = rows.where("cls is not null")
@@ -264,16 +265,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str
 
     found = reps.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = stored(found.join(least, "root").select("cls", "component_id"), "near-components")
+    by_class = stored(found.join(least, "root").select("cls", "root", "component_id"), "near-components")
     linked = rows.join(by_class, "cls", "left")
-    return linked.select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.select("doc_id", "n_shingles", "cls", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of every group: the one with the least id (of rows that repeat, one)."""
+    """``docs`` with one row of every group: the one with the least id (null ids after all others; of rows that repeat,
+    one).  A row without shingles is no group's."""
     found = near_duplicates(docs, k, percent, doc_id, text)
-    keep = found.where("doc_id <=> component_id").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), "n_shingles", F.coalesce("cls", F.lit(b"")).alias("_cls")).distinct()
+    as_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id")
+    least = found.where("cls is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "cls")).alias("m"))
+    keep = least.select("m.doc_id", "m.cls").unionByName(found.where("cls is null").select("doc_id", "cls")).select(as_text, F.coalesce("cls", F.lit(b"")).alias("_cls")).distinct()
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(whole, F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).alias("_id"), F.coalesce(_sketch(k)(F.col(text))["cls"], F.lit(b"")).alias("_cls"))
     # an id may occur with several texts: one row for each that stays
-    return rows.join(keep.select("_id", "_cls"), ["_id", "_cls"]).dropDuplicates(["_id", "_cls"]).select("_row.*")
+    return rows.join(keep, ["_id", "_cls"]).dropDuplicates(["_id", "_cls"]).select("_row.*")

@@ -23,8 +23,6 @@ from barloom.llm import words as w
 from barloom.llm.types import DOUBLE, LONG, row
 from barloom.session import stored
 
-#: the share of all words from which a language is large; nothing is judged by it (tests name it)
-SHARE = 0.001
 COMMON = 60
 LEAST_WORDS = 50
 LEAST_CHARS = 200
@@ -58,27 +56,43 @@ def _byte_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.array([np.bincount(data[a:b], minlength=256) for a, b in zip(at[:-1], at[1:])]).reshape(-1, 256)
 
 
+def _cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The pieces of ``data`` as strings, without an object for each."""
+    at = np.concatenate([[0], np.cumsum(ends - starts)])
+    places = np.repeat(starts - at[:-1], ends - starts) + np.arange(at[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[places])]).cast(pa.string())
+
+
+#: bytes of text that are counted at once
+RUN = 1 << 21
+
+
 def _counted(batches):
-    """Class counts and word counts of each batch and language: rows (lang, kind, item, n)."""
+    """Class counts and word counts of each run of texts and language: rows (lang, kind, item, n)."""
+    names = ["lang", "kind", "item", "n"]
+
+    def rows(lang, kind, items, n):
+        lang = pa.nulls(len(n), pa.string()) if lang is None else pa.repeat(pa.scalar(lang, pa.string()), len(n))
+        kind = pa.repeat(pa.scalar(kind, pa.string()), len(n))
+        return pa.RecordBatch.from_arrays([lang, kind, items, pa.array(n, pa.int64())], names)
+
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        for first, end, data, at in w.texts(batch.column("text")):
+        for first, end, data, at in w.texts(batch.column("text"), RUN):
             starts, ends, first_word = w.cut(data, at)
             hashes = w.word_hashes(data, starts, ends)
-            names: dict[str | None, int] = {}
-            code = np.array([names.setdefault(x, len(names)) for x in langs[first:end]], np.int64)
+            codes: dict[str | None, int] = {}
+            code = np.array([codes.setdefault(x, len(codes)) for x in langs[first:end]], np.int64)
             of_word = np.repeat(code, np.diff(first_word))
             chars = _byte_counts(data, at) @ _CLASSES
-            rows: list[tuple] = []
-            raw = data.tobytes()
-            for lang, c in names.items():
-                rows += [(lang, "chars", name, int(n)) for name, n in zip(CLASSES, chars[code == c].sum(0)) if n]
+            for lang, c in codes.items():
+                yield rows(lang, "chars", pa.array(CLASSES, pa.string()), chars[code == c].sum(0))
                 own = np.flatnonzero(of_word == c)
-                _, at_word, n = np.unique(hashes[own], return_index=True, return_counts=True)
-                rows.append((lang, "total", "", len(own)))
-                rows += [(lang, "words", raw[starts[i] : ends[i]].decode(), int(k)) for i, k in zip(own[at_word], n)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))], ["lang", "kind", "item", "n"])
+                yield rows(lang, "total", pa.array([""], pa.string()), np.array([len(own)]))
+                if len(own):
+                    _, at_word, n = np.unique(hashes[own], return_index=True, return_counts=True)
+                    own = own[at_word]
+                    yield rows(lang, "words", _cut_out(data, starts[own], ends[own]), n)
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> DataFrame:

@@ -151,29 +151,34 @@ def matches(text: Column, rule: Rule) -> Column:
     between = F.split(text, rule.pattern, -1)
     long_enough = lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.group) if rule.group else m) >= rule.least
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    walked = F.aggregate(
-        F.arrays_zip(between.alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                x["hit"].isNotNull() & long_enough(x["hit"]),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                            F.lit(rule.name).alias("kind"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-    )
-    return F.when(text.rlike(quick(rule)), walked["out"]).otherwise(empty)
+    end_of = lambda at, x: at + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
+
+    def walk(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        span = F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), F.lit(rule.name).alias("kind"))
+        kept = F.when(x["hit"].isNotNull() & long_enough(x["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(end_of(acc["at"], x).alias("at"), kept.alias("out"))
+
+    def spans(pieces: Column) -> Column:
+        # an accumulator is copied at every step, so the pieces are walked in chunks, each from its own start
+        chunks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int"))
+        chunk = lambda i: F.slice(pieces, i * CHUNK + 1, F.lit(CHUNK))
+        lengths = F.transform(chunks, lambda i: F.aggregate(chunk(i), F.lit(0), end_of))
+        starts = lambda sizes: F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, n: a + n))
+        walked = lambda at: F.transform(at, lambda start, i: F.aggregate(chunk(i), F.struct(start.alias("at"), empty.alias("out")), walk)["out"])
+        return F.flatten(_with(_with(lengths, starts), walked))
+
+    pieces = F.arrays_zip(between.alias("gap"), found.alias("hit"))
+    return F.when(text.rlike(quick(rule)), _with(pieces, spans)).otherwise(empty)
+
+
+#: pieces of a text that are walked with one accumulator
+CHUNK = 256
+
+
+def _with(value: Column, made) -> Column:
+    """``made(value)`` with the value worked out once."""
+    return F.transform(F.array(value), made)[0]
 
 
 def quick(rule: Rule) -> str:
