@@ -33,8 +33,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
-    found = decontaminate.verdicts(decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    return _same_columns(found.where("not contaminated"), docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col("text").alias("_text"))
+    found = decontaminate.verdicts(decontaminate.scan(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="_text"))
+    return found.where("not contaminated").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
