@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import rounded, rounded_cols
-from barloom.operators import alerts as al
 from barloom.plans import sql as q
 from barloom.plans.registry import query
-from barloom.plans.scenario_queries import AS_OF, LAST_RSI, RECENT, RULES_SQL, fired_sql, recent_bars, rules
+from barloom.plans.scenario_queries import LAST_RSI, fired_sql
 from barloom.plans.source_queries import BAR_COLS
-from barloom.session import new_path
+from barloom.session import new_path, stored
 from barloom.sources import tables
-from barloom.streaming import rsi_state, ticks
+from barloom.streaming import rsi_state, snapshots, ticks
 
 # bars whose end the watermark (newest tick minus one hour) has passed
 EMITTED_SQL = [
@@ -99,17 +98,44 @@ def str_04(spark, sf):
     return out.select("symbol", "ts", rounded("close").alias("close"), rounded("rsi_14").alias("rsi_14"))
 
 
+# a rule per user and event type: prices or RSI, by the user's number
+CYCLE_RULES_SQL = """rules AS (SELECT event_type AS symbol, user_id * 1000 + ascii(event_type) AS rule_id, user_id % 4 AS t, max(value) / 3 AS ref,
+  CASE WHEN user_id % 8 >= 4 THEN 45 + user_id % 13 END AS lim, user_id % 7 <> 0 AS active, CAST(NULL AS VARCHAR) AS message FROM events GROUP BY event_type, user_id)"""
+# the ticks known after each of the four batches, as symbols of their own
+PREFIX_SQL = [
+    """ticks AS (SELECT event_type || '#' || p AS symbol, ts, event_id, value FROM events, range(1, 5) x(p)
+  WHERE p = 4 OR epoch_us(ts) < (SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) * p / 4.0 FROM events))""",
+    """all_bars AS (SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low,
+  arg_max(value, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM ticks GROUP BY 1, 2)""",
+    """bars AS (SELECT * FROM (SELECT * FROM all_bars QUALIFY CAST(ts AS DATE) >= CAST(max(ts) OVER (PARTITION BY symbol) AS DATE) - 260) QUALIFY count(*) OVER (PARTITION BY symbol) >= 60)""",
+]
+PREFIX_LAST = "SELECT regexp_replace(symbol, '#.$', '') AS symbol, close, rsi_14 FROM (" + LAST_RSI + ")"
+
+
+def cycle_rules(spark, sf):
+    agg = tables.table(spark, sf, "events").groupBy("event_type", "user_id").agg((F.max("value") / 3).alias("ref"))
+    user = F.col("user_id")
+    kinds = F.array(*[F.lit(t) for t in ("price_above", "price_below", "rsi_overbought", "rsi_oversold")])
+    limit = F.when(user % 8 >= 4, (45 + user % 13).cast("double"))
+    return agg.select(
+        F.col("event_type").alias("symbol"),
+        (user * 1000 + F.ascii("event_type")).alias("rule_id"),
+        F.get(kinds, (user % 4).cast("int")).alias("type"),
+        F.struct(F.col("ref").alias("reference"), limit.alias("rsi_limit")).alias("condition"),
+        (user % 7 != 0).alias("active"),
+        F.lit(None).cast("string").alias("message"),
+    )
+
+
 @query(
     "str_05_alert_cycles",
-    q.with_(RECENT, q.NUMBERED, q.MOVES, q.RSI, RULES_SQL, fired_sql(LAST_RSI)) + "SELECT rule_id, symbol, message FROM fired",
+    q.with_(*PREFIX_SQL, q.NUMBERED, q.MOVES, q.RSI, CYCLE_RULES_SQL, fired_sql(PREFIX_LAST)) + "SELECT DISTINCT rule_id, symbol, message FROM fired",
 )
 def str_05(spark, sf):
-    """The batch alert run once per micro-batch of new ticks."""
+    """An alert cycle per micro-batch, each on its own ticks and the snapshot of the batch before."""
     path = new_path(spark, "alert-cycles")
-
-    def cycle(session):
-        return al.alert_run(recent_bars(session, sf), rules(session, sf), F.lit(AS_OF))
-
-    ticks.alert_cycles(ticks.event_stream(spark, sf), cycle, path, new_path(spark, "alert-cycles-checkpoint"))
+    rules = stored(cycle_rules(spark, sf), "cycle-rules")
+    cycle = snapshots.AlertSnapshots(new_path(spark, "alert-snapshots"), rules).cycle
+    ticks.alert_cycles(arriving(spark, sf), cycle, path, new_path(spark, "alert-cycles-checkpoint"))
     schema = "rule_id bigint, symbol string, message string"
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)

@@ -157,12 +157,12 @@ def write_cycle(alerts: DataFrame, path: str, batch_id: int) -> None:
 
 
 def alert_cycles(trigger_stream: DataFrame, cycle, path: str, checkpoint: str) -> None:
-    """Run ``cycle(spark) -> alerts`` once per micro-batch and append the messages that are
+    """Run ``cycle(batch, batch_id) -> alerts`` once per micro-batch of ticks and append the messages that are
     not in ``path`` from an earlier batch.  A retried batch does not see its own output, so it
     writes the same messages again in its place."""
 
     def one_cycle(batch: DataFrame, batch_id: int) -> None:
-        write_cycle(cycle(batch.sparkSession), path, batch_id)
+        write_cycle(cycle(batch, batch_id), path, batch_id)
 
     query = (
         trigger_stream.writeStream.foreachBatch(one_cycle)

@@ -203,3 +203,31 @@ def test_replicas_join_the_training_rows_only(spark):
     model = cl.fit(train)
     p = cl.score(model, rows.filter("NOT is_train")).withColumn("total", F.col("p0") + F.col("p1") + F.col("p2"))
     assert p.filter("abs(total - 1) > 1e-9").count() == 0
+
+
+def test_gram_sums_of_a_hot_symbol_over_many_tasks(spark):
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 3 else f"s{i % 50}", *map(float, rng.normal(size=3))) for i in range(3000)] + [(None, 1.0, 2.0, 3.0), ("s1", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, a double, b double, y double").repartition(90)
+    got = {r["symbol"]: r for r in fc.least_squares(df, "y", ["a", "b"]).collect()}
+    for symbol in ("hot", "s0", "s6"):
+        own = np.array([r[1:] for r in rows if r[0] == symbol and r[1] is not None])
+        x = np.column_stack([np.ones(len(own)), own[:, :2]])
+        beta, *_ = np.linalg.lstsq(x, own[:, 2], rcond=None)
+        assert got[symbol].beta == pytest.approx(beta.tolist(), abs=1e-9)
+        assert got[symbol].sigma == pytest.approx(float(np.sqrt(np.mean((own[:, 2] - x @ beta) ** 2))), abs=1e-9)
+    sent = fc.gram_sums(df.na.drop().selectExpr("symbol", "array(1D, a, b) AS x")).collect()
+    assert all(len(r["g"]) == 6 for r in sent) and None not in {r["symbol"] for r in sent if r["symbol"] == "hot"}
+
+
+def test_long_symbols_have_replicas(spark):
+    df = spark.range(6000).selectExpr("'long' AS symbol", "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts", "100D + id % 7 AS close", "1D AS volume", "cast(id % 3 AS int) AS target_class")
+    assert au.policy(df).first()["replicas"] == 1 and au.policy(df, 0).first()["replicas"] == 0
+    made = au.augment(df, ["close", "volume"])
+    assert made.count() == 12_000 and made.filter("replica = 1").select("technique").distinct().count() == 1
+
+
+def test_class_profile_of_all_class_columns(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 2, None), ("b", None, "y")], "symbol string, my_class int, target string")
+    got = {(r["symbol"], r["column_name"], r["class_value"]): (r["n"], r["n_classes"]) for r in pf.class_distributions(df).collect()}
+    assert got == {("a", "my_class", "1"): (1, 2), ("a", "my_class", "2"): (2, 2), ("a", "target", "x"): (2, 1), ("b", "target", "y"): (1, 1)}
