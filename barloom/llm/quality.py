@@ -56,43 +56,18 @@ def _byte_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.array([np.bincount(data[a:b], minlength=256) for a, b in zip(at[:-1], at[1:])]).reshape(-1, 256)
 
 
-def _cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The pieces of ``data`` as strings, without an object for each."""
-    at = np.concatenate([[0], np.cumsum(ends - starts)])
-    places = np.repeat(starts - at[:-1], ends - starts) + np.arange(at[-1])
-    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[places])]).cast(pa.string())
-
-
-#: bytes of text that are counted at once
-RUN = 1 << 21
-
-
-def _counted(batches):
-    """Class counts and word counts of each run of texts and language: rows (lang, kind, item, n)."""
-    names = ["lang", "kind", "item", "n"]
-
-    def rows(lang, kind, items, n):
-        lang = pa.nulls(len(n), pa.string()) if lang is None else pa.repeat(pa.scalar(lang, pa.string()), len(n))
-        kind = pa.repeat(pa.scalar(kind, pa.string()), len(n))
-        return pa.RecordBatch.from_arrays([lang, kind, items, pa.array(n, pa.int64())], names)
-
+def _classed(batches):
+    """Class counts of each run of texts and language: rows (lang, item, n)."""
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        for first, end, data, at in w.texts(batch.column("text"), RUN):
-            starts, ends, first_word = w.cut(data, at)
-            hashes = w.word_hashes(data, starts, ends)
-            codes: dict[str | None, int] = {}
-            code = np.array([codes.setdefault(x, len(codes)) for x in langs[first:end]], np.int64)
-            of_word = np.repeat(code, np.diff(first_word))
+        counts: dict[str | None, np.ndarray] = {}
+        for first, end, data, at in w.texts(batch.column("text"), 1 << 20):
             chars = _byte_counts(data, at) @ _CLASSES
-            for lang, c in codes.items():
-                yield rows(lang, "chars", pa.array(CLASSES, pa.string()), chars[code == c].sum(0))
-                own = np.flatnonzero(of_word == c)
-                yield rows(lang, "total", pa.array([""], pa.string()), np.array([len(own)]))
-                if len(own):
-                    _, at_word, n = np.unique(hashes[own], return_index=True, return_counts=True)
-                    own = own[at_word]
-                    yield rows(lang, "words", _cut_out(data, starts[own], ends[own]), n)
+            for lang, own in zip(langs[first:end], chars):
+                counts[lang] = counts.get(lang, 0) + own
+        rows = [(lang, name, int(n)) for lang, own in counts.items() for name, n in zip(CLASSES, own) if n]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64()))], ["lang", "item", "n"])
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> DataFrame:
@@ -100,9 +75,14 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
 
     Counts are summed per word over the cluster; ``words`` are the ``common`` most frequent ones, parted by blanks.
     """
-    counts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_counted, "lang string, kind string, item string, n long")
-    by_lang = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    by_lang = stored(by_lang, "quality-counts")
+    texts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    chars = texts.mapInArrow(_classed, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    words = texts.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("item")).where("item != ''").groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n"))
+    words = stored(words, "quality-words")
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit("").alias("item"), "n")
+    kind = lambda rows, name: rows.select("lang", F.lit(name).alias("kind"), "item", "n")
+    few = stored(kind(chars, "chars").unionByName(kind(totals, "total")), "quality-counts")
+    by_lang = few.unionByName(kind(words, "words"))
     own = by_lang.where(F.col("lang").isNotNull())
     pooled = by_lang.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "item", "n")
     every = own.unionByName(pooled)
