@@ -105,6 +105,57 @@ def test_main_text_beside_a_teaser_and_hidden_parts():
     assert html_paths.main_text(f"<body><article><p>{LONG}</p></article>{talk}</body>") == LONG.strip()
 
 
+PARTS = (
+    "comments", "user-comments", "commentList", "comment-thread", "post-comments", "reader_comments", "disqus_thread", "reply-form", "discussion", "article-ads", "ad-slot", "advert-top", "adsense", "sponsored-content",
+    "promo-box", "cookie-message", "cookieBanner", "gdpr-info", "consent-layer", "newsletter-signup", "social-media", "share-buttons", "related-posts", "relatedArticles", "recommended-reading", "top-stories",
+    "more-news", "most-read", "breadcrumbs", "sidebar", "trending-now", "popup-overlay",
+)
+STAYS = (
+    "content", "post-body", "entry", "article-text", "with-sidebar", "has-ads", "no-comments", "comments-open", "ad-free", "without-banner", "story", "text", "prose", "section-1", "chapter", "lead", "intro", "body-copy",
+    "page", "layout-main", "columns", "header-image-text", "download", "shadow", "address", "loading-done", "radio", "badge", "gradient", "cover-story",
+)
+
+
+@pytest.mark.parametrize("tag", ["article", "div class='story'"])
+def test_main_text_by_usual_names(tag):
+    close = tag.split()[0]
+    for name in PARTS:
+        inside = f"<{tag}><h1>Title</h1><p>{LONG}</p><div class='{name}'><p>Great post, thanks, I agree!</p></div><p>End, it is.</p></{close}>"
+        after = f"<{tag}><h1>Title</h1><p>{LONG}</p><p>End, it is.</p></{close}><div id='{name}'><p>Great post, thanks, I agree!</p></div>"
+        for page in (inside, after):
+            assert html_paths.main_text(f"<body>{page}</body>") == f"Title {LONG.strip()} End, it is.", name
+    for name in STAYS:
+        page = f"<{tag}><h1>Title</h1><div class='{name}'><p>A short one, to keep.</p></div><p>{LONG}</p></{close}>"
+        assert html_paths.main_text(f"<body>{page}</body>") == f"Title A short one, to keep. {LONG.strip()}", name
+
+
+def test_main_text_in_a_form_and_in_elements_with_content():
+    inner = f"<nav><a href='/'>Home</a></nav><div><h1>Title</h1><p>{LONG}</p><p>Energy <math><mi>E</mi></math> is <object>in</object> <canvas>units</canvas>.</p></div><input name='q'><select><option>One</option></select>"
+    for page in (f"<body><form id='aspnetForm'>{inner}</form></body>", f"<body>{inner}<form><p>Your mail, please.</p></form></body>"):
+        assert html_paths.main_text(page) == f"Title {LONG.strip()} Energy E is in units."
+    for tag in ("noscript", "iframe", "textarea", "xmp", "title", "svg"):
+        assert html_paths.main_text(f"<body><article><p>{LONG}</p><div><{tag}></div><p>End, it is.</p></article></body>").endswith("End, it is."), tag
+
+
+def test_main_text_of_very_long_and_deep_pages():
+    import time
+
+    begin, n = time.time(), 100_000
+    for page in ("<p " * n, '<a "' * n, "<a '>'" * n + '"', "<title>" * n, "<!--" * n, "</div>" * n, "<tr><td>x" * (n // 4), "&#" + "9" * n + ";", "<p><x><li>" + "<ul>" * (n // 4)):
+        html_paths.main_text(page)
+    assert html_paths.main_text("<div>" * n + "deep, text.") == "deep, text."
+    assert html_paths.main_text("<div class='ad'>" * (n // 4) + "deep, text.") == "deep, text."
+    assert html_paths.main_text("<div class='x'>" + f"<p>{LONG}</p>" * 2000 + "</div>").count("Clause") == 14_000
+    assert time.time() - begin < 60
+
+
+def test_main_text_of_given_pages_without_the_article_tag():
+    import duckdb
+
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        assert html_paths.main_text(page.replace("<article", "<div").replace("</article", "</div")) == html_paths.main_text(page)
+
+
 def test_more_entities_than_short_surrogates(spark, monkeypatch):
     made, calls = pii.surrogate, []
 
