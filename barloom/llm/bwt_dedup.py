@@ -13,11 +13,12 @@ so a text gives a piece per 150 bytes or so, of which at first only hashes are s
 
 Pieces of one anchor need not be bounded (a text with single changes in very many copies).  An anchor with more than
 ``CROWDED`` pieces is divided: its pieces are cut again by a second anchor (least of another hash), which equal strings
-share as well, and pieces that thus become equal are merged before they are gathered.
+share as well, and pieces that thus become equal are merged before they are gathered.  Of second anchors that are still
+crowded nothing is gathered: the hashes of all their strings are counted, so that no group of pieces meets in a task.
 
 Cases: null text has no bytes; texts below ``length`` bytes are never changed; rows that repeat are separate documents, so
-their texts repeat; overlaps count, and all strings are judged on the input; an empty table gives an empty
-result; other columns are kept by :func:`cleaned`.
+their texts repeat; rows may share an id or have none (of copies with one id all bodies are read); overlaps count, and all
+strings are judged on the input; an empty table gives an empty result; other columns are kept by :func:`cleaned`.
 """
 
 from __future__ import annotations
@@ -121,6 +122,23 @@ def _divide(length: int):
     return divide
 
 
+def _strings(length: int):
+    """The hash of every string of ``length`` bytes of the pieces, with its place in the text."""
+
+    def strings(batches):
+        for batch in batches:
+            for key, start, anchor, body in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "anchor", "body"))):
+                data = np.frombuffer(body, np.uint8)
+                powers, inverses = w._tables(len(data) + 1)
+                sums = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+                hashes = w.mix((sums[length:] - sums[:-length]) * inverses[: len(sums) - length]).view(np.int64)
+                n = len(hashes)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.binary()), pa.array(np.arange(start, start + n)), pa.array([anchor] * n, pa.int64()), pa.array(hashes)], ["key", "start", "anchor", "string"])
+
+    return strings
+
+
 def _transform(length: int, block: int):
     """The repeated strings of all pieces of a partition that is sorted by anchor."""
 
@@ -177,7 +195,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
     ``sha`` (of what is kept) per row; the second has ``key`` and the kept bytes ``body`` of the texts that are
     changed in part."""
     rows = stored(docs.select(F.col(doc_id).alias("doc_id"), _profile(length)(_content(text)).alias("_p")).select("doc_id", "_p.*"), "bwt-pieces")
-    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("_first"))
     places = rows.select("key", F.explode("pieces").alias("p")).select("key", F.col("p.start").alias("start"), F.col("p.n").alias("n"), F.col("p.anchor").alias("anchor"), F.col("p.hash").alias("hash")).distinct()
     kinds = stored(places.groupBy("anchor", "hash", "n").agg(F.count(F.lit(1)).alias("_times"), F.min(F.struct("key", "start")).alias("_at")), "bwt-kinds")
     shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1")
@@ -186,11 +204,12 @@ def cleaned(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
     gathered = stored(gathered, "bwt-gathered")
     whole = stored(places.join(kinds.where("_times > 1").select("anchor", "hash", "n"), ["anchor", "hash", "n"]).select("key", "start", "n"), "bwt-whole")
 
-    # the texts that anything is taken from or removed from, each once
-    needed = gathered.select("key").unionByName(whole.select("key")).distinct()
+    # the texts that anything is taken from or removed from, each from its row of the least id
+    needed = gathered.select("key").unionByName(whole.select("key")).distinct().join(copies, "key")
     content = _content(text).cast("binary")
-    bodies = docs.select(F.unhex(F.md5(content)).alias("key"), content.alias("body")).join(needed, "key").dropDuplicates(["key"])
-    bodies = stored(bodies, "bwt-texts")
+    bodies = docs.select(F.col(doc_id).alias("_id"), F.unhex(F.md5(content)).alias("key"), content.alias("body")).alias("d")
+    one = (F.col("d.key") == F.col("n.key")) & F.col("d._id").eqNullSafe(F.col("n._first"))
+    bodies = stored(bodies.join(needed.alias("n"), one).select("d.key", "d.body", "n.copies"), "bwt-texts")
     wanted = gathered.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("n") - 1 + length).cast("long").alias("size"), "n", "anchor", "hash", "crowded")).alias("_w"))
     cut = bodies.join(wanted, "key").withColumn("_b", _cut("body", "_w")).select("key", F.explode(F.arrays_zip("_w", "_b")).alias("x"))
     cut = cut.select("key", F.col("x._w.start").alias("start"), F.col("x._w.n").alias("n"), F.col("x._w.anchor").alias("anchor"), F.col("x._w.hash").alias("hash"), F.col("x._w.crowded").alias("crowded"), F.col("x._b").alias("body"))
@@ -201,15 +220,22 @@ def cleaned(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
     if not gathered.where("crowded").isEmpty():
         again = stored(cut.where("crowded").drop("crowded").select(*[x.split()[0] for x in schema.split(", ")]).mapInArrow(_divide(length), schema), "bwt-divided")
         small = again.groupBy("anchor", "hash", "n").agg(F.count(F.lit(1)).alias("_times"), F.min(F.struct("key", "start", "body")).alias("_at"))
-        merged = small.select("anchor", "_at.*")
+        small = stored(small, "bwt-divided-kinds")
+        kinds_of = small.groupBy("anchor").agg(F.count(F.lit(1)).alias("_kinds"))
+        sized = small.join(kinds_of, "anchor").select("anchor", "_at.*", "_kinds")
+        merged = sized.where(F.col("_kinds").between(2, crowded))
+        strings = stored(sized.where(F.col("_kinds") > crowded).select("key", "start", "anchor", "body").mapInArrow(_strings(length), "key binary, start long, anchor long, string long"), "bwt-strings")
+        equal = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").drop("_times")
+        counted = strings.join(equal, ["anchor", "string"]).select("key", "start", F.lit(1).alias("n"))
         twice = again.join(small.where("_times > 1").select("anchor", "hash", "n"), ["anchor", "hash", "n"]).select("key", "start", "n")
         parts = merged.repartition("anchor").sortWithinPartitions("anchor").select("key", "start", "anchor", "body").mapInArrow(_transform(length, block), "key binary, start long, n int")
-        covered = covered.unionByName(twice).unionByName(parts)
+        covered = covered.unionByName(twice).unionByName(parts).unionByName(counted)
     by_text = covered.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("_c"))
-    changed = stored(bodies.join(by_text, "key").select("key", _without("body", "_c", F.lit(length)).alias("_x")).select("key", "_x.*"), "bwt-changed")
+    # copies are removed as a whole
+    changed = stored(bodies.where("copies = 1").join(by_text, "key").select("key", _without("body", "_c", F.lit(length)).alias("_x")).select("key", "_x.*"), "bwt-changed")
     entire = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     none = F.sha2(F.lit("").cast("binary"), 256)
-    result = rows.select("doc_id", "key", "n_bytes", F.col("sha").alias("_own")).join(copies, "key").join(changed.drop("body"), "key", "left")
+    result = rows.select("doc_id", "key", "n_bytes", F.col("sha").alias("_own")).join(copies.drop("_first"), "key").join(changed.drop("body"), "key", "left")
     result = result.select(
         "doc_id",
         "key",

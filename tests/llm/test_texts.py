@@ -170,6 +170,25 @@ def test_bytes_beside_brute_force(request, table, length, crowded, block):
     assert found == brute_bytes(texts, length)
 
 
+@pytest.fixture(scope="session")
+def forms(spark):
+    """Forms with a number of their own in the middle, every anchor of which stays crowded; copies, some with one id."""
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    before, after = say(90), say(110)
+    rows = [(i, f"{before} {rng.randrange(10**8)} {after} {rng.randrange(10**6) if i % 3 else ''}") for i in range(60)]
+    rows += [(100 + i, rows[7][1]) for i in range(5)] + [(200, rows[8][1]), (200, rows[8][1]), (None, rows[9][1]), (None, rows[9][1]), (None, say(150)), (300, say(200))]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+@pytest.mark.parametrize("length,crowded", [(400, 8), (400, 2000), (120, 3)])
+def test_bytes_of_crowded_anchors_and_copies(forms, length, crowded):
+    result, bodies = bwt_dedup.cleaned(forms, length, crowded=crowded)
+    found = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in result.collect())
+    assert found == brute_bytes([r[0] for r in forms.select("text").collect()], length)
+    assert bodies.groupBy("key").count().where("count > 1").isEmpty()
+
+
 def test_bytes_operator_texts(odd, nothing):
     out = bwt_dedup.deduplicated(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
