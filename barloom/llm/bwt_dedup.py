@@ -39,7 +39,7 @@ LENGTH = 400
 GRAM = 96
 CROWDED = 2000
 #: bytes of pieces whose transform is built at once (one anchor is never split over blocks)
-BLOCK = 2_000_000
+BLOCK = 500_000
 _CHUNK = 1 << 20
 PIECES = many(row(start=LONG, n=INT, anchor=LONG, hash=LONG))
 _PIECE = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int64()), ("hash", pa.int64())]))
