@@ -32,7 +32,8 @@ def pearson_importance(
 ) -> DataFrame:
     """|Pearson| with the target on the complete rows, |Spearman| where that is undefined.
 
-    Ranks are taken per key, so ``spearman`` is for keys bounded by the calendar.
+    Ranks are taken in one window per key, so ``spearman`` is for keys bounded by the calendar; ``rank_correlation``
+    takes a key of any size.
     """
     rows = df.na.drop(subset=[*features, target])
 
@@ -58,6 +59,40 @@ def pearson_importance(
     return both.select(key, "feature", score.alias("score"), defined("spearman").alias("spearman"))
 
 
+def ties_ranked(long: DataFrame, value: str, keys: list[str], blocks: int = 256) -> DataFrame:
+    """Mean rank of every distinct value of a key of any size.
+
+    Values are counted, the distinct ones cut into blocks between quantiles of a sketch of them, and ranked inside their
+    block behind the count of the blocks before; the result is exact wherever the cuts fall.
+    """
+    counts = long.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    probs = [i / blocks for i in range(1, blocks)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, 10_000).alias("_cuts"))
+    placed = counts.join(cuts, keys).withColumn("_block", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_block").agg(F.sum("n").alias("_in"))
+    # a row per block: bounded whatever the key's size
+    before = sums.withColumn("_before", F.sum("_in").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_in")).drop("_in")
+    upto = F.sum("n").over(Window.partitionBy(*keys, "_block").orderBy(value))
+    ranked = placed.withColumn("_upto", upto).join(before, [*keys, "_block"])
+    return ranked.select(*keys, value, (F.col("_before") + F.col("_upto") - (F.col("n") - 1) / 2.0).alias(f"rank_{value}"))
+
+
+def rank_correlation(df: DataFrame, features: list[str], target: str, key: str = "symbol") -> DataFrame:
+    """Spearman's correlation of each feature with the target on the complete rows, ties at their mean rank, for
+    keys of any size: (key, feature, spearman), null where one of the two does not vary."""
+    rows = df.na.drop(subset=[*features, target]).withColumn("t", F.col(target).cast("double"))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
+    # distinct pairs with their number, so that copies of a pair meet the ranks once
+    pairs_ = rows.select(key, "t", F.explode(cells).alias("s")).groupBy(key, F.col("s.feature").alias("feature"), F.col("s.v").alias("v"), "t").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    ranked = pairs_.join(ties_ranked(rows.select(key, "t"), "t", [key]), [key, "t"])
+    ranked = ranked.join(ties_ranked(rows.select(key, F.explode(cells).alias("s")).select(key, "s.*"), "v", [key, "feature"]), [key, "feature", "v"])
+    # sums about the middle rank, the same for both sides: all ranks of a key add up to n (n + 1) / 2
+    middle = rows.groupBy(key).agg(((F.count(F.lit(1)) + 1) / 2.0).alias("_mid"))
+    x, y, w = F.col("rank_v") - F.col("_mid"), F.col("rank_t") - F.col("_mid"), F.col("w")
+    sums = ranked.join(middle, key).groupBy(key, "feature").agg(F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    return sums.select(key, "feature", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("spearman"))
+
+
 def mutual_information(
     df: DataFrame, features: list[str], target: str, bins: int = 10, key: str = "symbol", bounded: bool = True
 ) -> DataFrame:
@@ -145,7 +180,10 @@ def select_features(df: DataFrame, features: list[str], target: str, max_feature
     if rel["n_target"] < 10:
         scores = mutual_information(all_rows, kept, target, key="_all", bounded=False)
     else:
-        scores = pearson_importance(all_rows, kept, target, key="_all", spearman=False)
+        # the rank correlation where the plain one is zero or not defined
+        plain = pearson_importance(all_rows, kept, target, key="_all", spearman=False).withColumn("score", F.nullif("score", F.lit(0.0)))
+        ranks = rank_correlation(all_rows, kept, target, key="_all")
+        scores = plain.join(ranks, ["_all", "feature"], "left").withColumn("score", F.coalesce("score", F.abs("spearman"), F.lit(0.0)))
     by_score = {r["feature"]: r["score"] for r in scores.collect()}  # one row per feature
     order = sorted(kept, key=lambda f: -(by_score.get(f) or 0.0))
     kept = order[: max(4, min(max_features, int(len(order) * 0.8)))]

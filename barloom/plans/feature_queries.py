@@ -304,14 +304,44 @@ def _corr_table(spark, sf):
     return df, sl.relations(df, ft.FEATURES, "target_return")
 
 
-@query("agg_19_redundancy_groups")
+_PLACE = {f: i for i, f in enumerate(ft.FEATURES)}
+_LATER = pf.pairs(ft.FEATURES)
+STRONG_SQL = [
+    *REL_SQL,
+    f"""cells AS (SELECT {', '.join(f'corr({a}, {b}) AS c_{_PLACE[a]}_{_PLACE[b]}' for a, b in _LATER)} FROM fr
+  WHERE {' AND '.join(f'{f} IS NOT NULL' for f in ft.FEATURES)})""",
+    "strong AS ("
+    + " UNION ALL ".join(f"SELECT {_PLACE[a]} AS i, {_PLACE[b]} AS j, '{a}' AS a, '{b}' AS b FROM cells WHERE isfinite(c_{_PLACE[a]}_{_PLACE[b]}) AND abs(c_{_PLACE[a]}_{_PLACE[b]}) > {sl.CORRELATED}" for a, b in _LATER)
+    + ")",
+]
+GROUPS_SQL = [
+    "close_ AS (SELECT list(a || '|' || b) AS near FROM strong)",
+    f"""greedy AS (SELECT {ft.FEATURES!r} AS left_, CAST(NULL AS VARCHAR) AS features, -1 AS group_id
+  UNION ALL SELECT list_filter(left_[2:], lambda f: NOT list_contains(taken, f)), CASE WHEN len(taken) > 0 THEN array_to_string(list_concat([left_[1]], taken), ',') END,
+    group_id + CASE WHEN len(taken) > 0 THEN 1 ELSE 0 END
+  FROM (SELECT g.*, list_filter(left_[2:], lambda f: list_contains(coalesce(near, []), left_[1] || '|' || f)) AS taken FROM greedy g, close_ WHERE len(left_) > 0))""",
+]
+FILTER_SQL = [
+    "toward AS (" + " UNION ALL ".join(f"SELECT '{f}' AS f, abs(coalesce(corr({f}, target_return), 0)) AS t FROM fr" for f in ft.FEATURES) + ")",
+    """visits AS (SELECT row_number() OVER (ORDER BY j, i) AS k, a, b, CASE WHEN x.t < y.t THEN a ELSE b END AS loser
+  FROM strong JOIN toward x ON x.f = a JOIN toward y ON y.f = b)""",
+    """gone AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS names
+  UNION ALL SELECT v.k, CASE WHEN list_contains(names, a) OR list_contains(names, b) THEN names ELSE list_append(names, loser) END
+  FROM gone JOIN visits v ON v.k = gone.k + 1)""",
+]
+
+
+@query("agg_19_redundancy_groups", q.with_(*STRONG_SQL, *GROUPS_SQL) + "SELECT CAST(group_id AS INTEGER) AS group_id, features FROM greedy WHERE features IS NOT NULL")
 def agg_19(spark, sf):
     _, rel = _corr_table(spark, sf)
     groups = sl.redundancy_groups(ft.FEATURES, rel["corr"])
     return spark.createDataFrame([(i, ",".join(g)) for i, g in enumerate(groups)], "group_id int, features string")
 
 
-@query("fea_05_correlation_filter")
+@query(
+    "fea_05_correlation_filter",
+    q.with_(*STRONG_SQL, *FILTER_SQL) + f"SELECT f AS feature, NOT list_contains((SELECT arg_max(names, k) FROM gone), f) AS kept FROM (SELECT unnest({ft.FEATURES!r}) AS f)",
+)
 def fea_05(spark, sf):
     _, rel = _corr_table(spark, sf)
     kept = sl.correlation_filter(ft.FEATURES, rel["corr"], rel["target"])
@@ -344,6 +374,20 @@ def fea_07(spark, sf):
     return df.select("symbol", "feature", *rounded_cols(["score", "spearman"]))
 
 
+WHOLE_RANK_SQL = [
+    "lw AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, round({f}, 9) AS v, round(target_return, 9) AS t FROM fr WHERE ok AND target_return IS NOT NULL" for f in REL) + ")",
+    """wr AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS rv,
+  rank() OVER (PARTITION BY feature ORDER BY t) + (count(*) OVER (PARTITION BY feature, t) - 1) / 2.0 AS rt FROM lw)""",
+]
+
+
+@query("fea_07_rank_correlation", q.with_(*REL_SQL, *WHOLE_RANK_SQL) + f"SELECT 'all' AS key, feature, {q.rnd('corr(rv, rt)')} AS spearman FROM wr GROUP BY 2")
+def fea_07_rank(spark, sf):
+    """Rank correlation over all symbols at once, as the selector takes it."""
+    df = _nine_digits(spark, sf).withColumn("key", F.lit("all"))
+    return sl.rank_correlation(df, REL, "target_return", "key").withColumn("spearman", rounded("spearman"))
+
+
 MI_CTE = [
     "lc AS (" + " UNION ALL ".join(
         f"SELECT symbol, '{f}' AS feature, {f} AS v, CASE WHEN target_return > 0.012 THEN 2 WHEN target_return < -0.012 THEN 0 ELSE 1 END AS cls FROM fr WHERE ok AND target_return IS NOT NULL"
