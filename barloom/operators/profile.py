@@ -609,8 +609,18 @@ def target_correlations(df: DataFrame, features: list[str], target: str, key: st
 
 
 def full_profile(bars: DataFrame) -> DataFrame:
-    """One record per symbol with the result of every family above."""
+    """One record per symbol with the result of every family above: ``class_balance`` holds every class column of
+    ``bars`` (null without one), ``column_types`` the kinds of the table's columns.  The families read ``bars``
+    one after the other, so it should be a stored table.
+    """
     q = quality(bars)
+    if classes := class_columns(bars):
+        q = q.join(_per_symbol(class_distributions(bars, classes), "class_balance"), "symbol", "left")
+    else:
+        q = q.withColumn("class_balance", F.lit(None).cast("string"))
+    kinds = column_types(bars)
+    # one row: a scalar, no join
+    q = q.withColumn("column_types", kinds.agg(F.sort_array(F.collect_list(F.struct(*kinds.columns)))).scalar())
     parts = [
         noise(bars).select("symbol", "noise_level"),
         _per_symbol(stationarity(bars).select("symbol", "column_name", "verdict", "overall"), "stationarity"),

@@ -9,6 +9,7 @@ from barloom.operators import labels as lb
 from barloom.operators import profile as pf
 from barloom.plans import sql as q
 from barloom.plans.registry import query
+from barloom.session import stored
 from barloom.sources import tables
 
 COLS = pf.NUMERIC
@@ -387,7 +388,9 @@ def agg_17(spark, sf):
 @query("agg_20_full_profile")
 def agg_20(spark, sf):
     """One record per symbol; the parts carry their own comparison SQL above."""
-    df = pf.full_profile(tables.order_bars(spark, sf))
+    bars = lb.direction_labels(tables.order_bars(spark, sf), F.lit(0.012), F.lit(-0.012))
+    bars = bars.withColumn("target_return", F.floor(F.col("target_return") * 1000 + 0.5).cast("long"))
+    df = pf.full_profile(stored(bars, "profile-bars"))
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct")]
     return df.withColumns({n: F.to_json(n) for n in nested})
 
