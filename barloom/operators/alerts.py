@@ -92,13 +92,8 @@ def alert_run(bars: DataFrame, rules: DataFrame, as_of: Column, fired: DataFrame
     return alerts if fired is None else not_fired(alerts, fired)
 
 
-def watched(bars: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Bars of the symbols on a watchlist; the semi join on the bars' key moves below their aggregation."""
-    return bars.join(watchlist.select("symbol").distinct(), "symbol", "left_semi")
-
-
 def dashboard(quotes: DataFrame, macro: DataFrame, points: DataFrame, tail: int = 5) -> DataFrame:
-    """Quotes of the watched symbols, latest macro values and the tail of each series, as one
+    """Quotes, latest macro values and the tail of each series, as one
     long table (section, name, ts, value, change_pct)."""
     none = F.lit(None).cast("double")
     q = quotes.select(

@@ -14,7 +14,7 @@ from barloom.operators import scenario as sc
 from barloom.plans import sql as q
 from barloom.plans.evaluation_queries import SCORED_SQL, scored
 from barloom.plans.feature_queries import SIGNAL_SQL
-from barloom.plans.lookup_queries import QUOTE_SQL, prj_12
+from barloom.plans.lookup_queries import QUOTE_SQL
 from barloom.plans.profile_queries import CLASS_SQL, SPARSE_SQL, sparse_facts
 from barloom.plans.registry import query
 from barloom.plans.source_queries import POINTS_SQL, month_points
@@ -341,14 +341,14 @@ def joi_06(spark, sf):
 
 @query(
     "dsh_01_dashboard",
-    q.with_(q.NATION_BARS.replace("GROUP BY", "WHERE n_regionkey = 1 GROUP BY"), q.NUMBERED, POINTS_SQL, f"quo AS ({QUOTE_SQL})")
+    q.with_(q.NATION_BARS, q.NUMBERED, POINTS_SQL, f"quo AS ({QUOTE_SQL})")
     + f"""SELECT 'quotes' AS section, symbol AS name, ts, price AS value, change_pct FROM quo
 UNION ALL SELECT 'macro', series_id, max(date), {q.rnd('arg_max_null(value, date)')}, CAST(NULL AS DOUBLE) FROM points GROUP BY 2
 UNION ALL SELECT 'series', series_id, date, {q.rnd('value')}, CAST(NULL AS DOUBLE) FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS d FROM points) WHERE d <= 5""",
 )
 def dsh_01(spark, sf):
-    """Quotes of what is watched: ticks of other symbols are left out before they become bars."""
+    """Quotes of every symbol, latest macro values and the tails of their series."""
     points = month_points(spark, sf)
     macro = points.groupBy("series_id").agg(F.max("date").alias("date"), F.max_by("value", "date").alias("value"))
-    quotes = lk.quote_from_history(al.watched(tables.nation_bars(spark, sf), prj_12(spark, sf)))
+    quotes = lk.quote_from_history(tables.nation_bars(spark, sf))
     return al.dashboard(quotes, macro, points).withColumns({"value": rounded("value"), "change_pct": rounded("change_pct")})
