@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from barloom.llm import words as w
 from barloom.llm.components import components
 from barloom.llm.types import BINARY, INT, LONG, many, row
-from barloom.session import stored
+from barloom.session import batches_by_bytes, stored
 
 COORDINATES = 32
 #: chance that a pair right at the threshold has too few matches
@@ -232,6 +232,7 @@ def rare_pairs(members: DataFrame, percent: int, matches: int = 0) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``cls`` (equal sets), ``root`` (a class that names the component, null without
     shingles), ``component_id`` (least id of the component) of every row."""
+    batches_by_bytes(docs.sparkSession)
     matches = least_matches(percent / 100)
     rows = stored(docs.select(F.col(doc_id).alias("doc_id"), _sketch(k)(F.col(text)).alias("_s")).select("doc_id", "_s.*"), "near-sketches")
     with_set = rows.where("cls is not null")

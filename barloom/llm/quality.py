@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import words as w
 from barloom.llm.types import DOUBLE, LONG, row
-from barloom.session import stored
+from barloom.session import batches_by_bytes, stored
 
 COMMON = 60
 LEAST_WORDS = 50
@@ -61,7 +61,7 @@ def _classed(batches):
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         counts: dict[str | None, np.ndarray] = {}
-        for first, end, data, at in w.texts(batch.column("text"), 1 << 20):
+        for first, end, data, at in w.texts(batch.column("text")):
             chars = _byte_counts(data, at) @ _CLASSES
             for lang, own in zip(langs[first:end], chars):
                 counts[lang] = counts.get(lang, 0) + own
@@ -75,6 +75,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
 
     Counts are summed per word over the cluster; ``words`` are the ``common`` most frequent ones, parted by blanks.
     """
+    batches_by_bytes(docs.sparkSession)
     texts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     chars = texts.mapInArrow(_classed, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     words = texts.select("lang", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("item")).where("item != ''").groupBy("lang", "item").agg(F.count(F.lit(1)).alias("n"))
@@ -221,6 +222,7 @@ def _features(pooled: dict):
 
 def judged(docs: DataFrame, refs: DataFrame | None = None, text: str = "text", lang: str = "lang", result: str = "_quality") -> DataFrame:
     """``docs`` with a struct ``result``: the base counts, both distances, ``base_failed`` and ``kept``."""
+    batches_by_bytes(docs.sparkSession)
     refs = references(docs, text, lang) if refs is None else refs
     q = result
     columns = ["chars", "words", "counts", "total"]

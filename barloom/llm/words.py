@@ -23,7 +23,9 @@ LOWER[0x41:0x5B] += 32
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
+#: bytes of text that are worked on at once; a worker's arrays take some thirty times as much
+RUN = 1 << 20
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -42,13 +44,13 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
         back = np.uint64(pow(int(_PRIME), -1, 1 << 64))
-        size = max(n, _BLOCK)
+        size = max(1 << (n - 1).bit_length(), _BLOCK)
         _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, _PRIME)]))
         _inverses = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, back)]))
     return _powers, _inverses
 
 
-def texts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array, most: int = RUN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """The rows of a string column in runs of about ``most`` bytes: first row, end row, bytes and
     offsets (null: no bytes).  A longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):

@@ -59,3 +59,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batches_by_bytes(spark: SparkSession, most: str = "4m") -> None:
+    """Send texts to Python in Arrow batches of a few MB: 10,000 rows of long texts, which are held several times over
+    beside the heap, fill an executor.  A limit that the session names stays."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, most)
