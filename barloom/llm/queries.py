@@ -42,8 +42,8 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    result, _ = bwt_dedup.cleaned(docs)
-    return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
+    result, _ = bwt_dedup.cleaned(docs, words=bwt_dedup.PASSAGE)
+    return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), "shares_passage")
 
 
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

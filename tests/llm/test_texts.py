@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from barloom.llm import bwt_dedup, decontaminate, line_dedup, near_dedup, quality
+from barloom.llm import bwt_dedup, decontaminate, line_dedup, near_dedup, quality, queries
 from barloom.llm import words as w
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -189,6 +189,34 @@ def test_bytes_of_crowded_anchors_and_copies(forms, length, crowded):
     assert bodies.groupBy("key").count().where("count > 1").isEmpty()
 
 
+def brute_passages(rows, words):
+    """For each row whether another row's text has a run of ``words`` of its words."""
+    runs = [{tuple(x[i : i + words]) for i in range(len(x) - words + 1)} for x in (WORD.findall(t or "") for t in rows)]
+    count = collections.Counter(r for own in runs for r in own)
+    return [any(count[r] > 1 for r in own) for own in runs]
+
+
+@pytest.mark.parametrize("table,words", [("odd", 51), ("odd", 3), ("odd", 1), ("small", 51), ("small", 8), ("forms", 51), ("forms", 90), ("forms", 111)])
+def test_passages_beside_brute_force(request, table, words):
+    docs = request.getfixturevalue(table)
+    texts = [r[0] for r in docs.select("text").collect()]
+    result, _ = bwt_dedup.cleaned(docs, words=words)
+    found = collections.Counter((r["key"], r["shares_passage"]) for r in result.collect())
+    assert found == collections.Counter((hashlib.md5((t or "").encode()).digest(), s) for t, s in zip(texts, brute_passages(texts, words)))
+
+
+def test_query_reports_passages_below_400_bytes(spark, tmp_path):
+    """A passage of 51 words that documents share, too short to be removed; one of 50 words; one that repeats in its own text."""
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    long, short, own, copied = say(51), say(50), say(60), say(55)
+    texts = [f"{say(30)} {long} {say(40)}", f"{say(9)}\n{long.replace(' ', '  ', 1)}", f"{say(30)} {short} {say(40)}", f"{short} {say(20)}", f"{own} {say(5)} {own}", say(300), copied, copied, short, None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(queries.QUERIES["op4_suffix_dedup"](spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    assert [r["shares_passage"] for r in rows] == [True, True, False, False, False, False, True, True, False, False, False]
+    assert [r["n_removed"] for r in rows] == [0] * 11
+
+
 def test_bytes_operator_texts(odd, nothing):
     out = bwt_dedup.deduplicated(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
