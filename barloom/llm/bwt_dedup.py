@@ -17,7 +17,7 @@ share as well, and pieces that thus become equal are merged before they are gath
 crowded nothing is gathered: the hashes of all their strings are counted, so that no group of pieces meets in a task.
 
 Shorter passages, counted in words, can be reported beside what is removed (``words``): a text shares a passage if a run of
-so many words stands in another row's text too.  Least hashes of half as many words are the anchors here.  Texts with
+so many words stands in another row's text too.  Least hashes of a third as many words are the anchors here.  Texts with
 an anchor whose pieces are all equal share one; where that does not tell, the hashes of the anchor's runs are counted.
 
 Cases: null text has no bytes; texts below ``length`` bytes are never changed; rows that repeat are separate documents, so
@@ -97,7 +97,7 @@ def _runs(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.
     powers, inverses = w._tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(w.word_hashes(data, starts, ends) * powers[:n], out=sums[1:])
-    gram = (words + 1) // 2
+    gram = (words + 2) // 3
     anchor = _least(w.mix((sums[gram:] - sums[:-gram]) * inverses[: n - gram + 1]), words - gram + 1)
     text = np.repeat(np.arange(len(at) - 1), np.diff(first))
     start = np.flatnonzero(text[: n - words + 1] == text[words - 1 :])
